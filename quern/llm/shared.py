@@ -67,3 +67,31 @@ def id_remainder(column: str, divisor: int) -> Column:
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator is about to add."""
     return df.drop(*names)
+
+
+def map_texts(df: DataFrame, column: str, fields: list[tuple[str, str, object]], compute, most: int, drop: tuple[str, ...] = ()) -> DataFrame:
+    """df with new columns that compute() makes from blocks of a text column, in Arrow batches.
+
+    fields: name, SQL type and Arrow type of each new column; a column of df with such a name is replaced. compute gets the
+    text column of a block (about `most` bytes of whole texts) and returns the new columns in order. No shuffle.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from .text import blocks
+
+    new = {name.lower() for name, _, _ in fields} | {d.lower() for d in drop}
+    kept = [f for f in df.schema.fields if f.name.lower() not in new]
+    schema = T.StructType([*kept, *(T.StructField(n, T._parse_datatype_string(sql)) for n, sql, _ in fields)])
+    names = [f.name for f in kept]
+    hidden = "quern_text"
+    passed = df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{column}`").alias(hidden))
+
+    def run(batches):
+        for whole in batches:
+            for part in blocks(whole, hidden, most):
+                columns = compute(part.column(hidden))
+                made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, (_, _, kind) in zip(columns, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=[*names, *(n for n, _, _ in fields)])
+
+    return passed.mapInArrow(run, schema)
