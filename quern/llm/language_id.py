@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import map_texts
-from .text import code_points, utf8
+from .text import code_points, pieces, utf8
 
 BITS = 16
 SAMPLE_TEXTS = 3000
@@ -78,9 +78,9 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
 class Letters:
     """Letters of a block of texts, word by word: spelling features, scripts and positions."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         scripts, lower = tables()
-        points, first = code_points(*utf8(column))
+        points, first = code_points(data, offsets)
         script = scripts[points]
         letter = script > 0
         start = letter.copy()
@@ -131,7 +131,7 @@ def _fit(texts: DataFrame, text: str, label: str, names: list[str]) -> tuple[np.
 
             done = 0
             for part in blocks(b, "text"):
-                x = Letters(part.column(0))
+                x = Letters(*utf8(part.column(0)))
                 mine = np.repeat(labels[done : done + part.num_rows], np.diff(x.text_first))[x.word_of]
                 for k, f in enumerate(x.features):
                     total[:, k << BITS : (k + 1) << BITS] += np.bincount(mine * (1 << BITS) + f, minlength=rows << BITS).reshape(rows, -1)
@@ -186,23 +186,40 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     return out
 
 
+#: Bytes whose letters are held at once; the words of a whole block are held.
+PIECE_BYTES = 500_000
+
+
 def _label(column: pa.Array, model, names: list[str], with_spans: bool) -> list:
+    data, offsets = utf8(column)
+    n_texts, k = len(offsets) - 1, len(names)
     logs, written = model
-    x = Letters(column)
-    n_texts, k = len(x.text_first) - 1, len(names)
-    if not k or not len(x.word_first):
+    ends, owner = pieces(offsets, data, PIECE_BYTES)
+    parts: list[tuple] = []
+    points_before = np.zeros(n_texts, np.int64)
+    low = 0
+    while low < len(owner) and k:
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + PIECE_BYTES, "right")) - 1)
+        x = Letters(data[ends[low] : ends[high]], ends[low : high + 1] - ends[low])
+        scores = np.zeros((len(x.word_first), k), np.float32)
+        if len(x.word_first):
+            for f, table in zip(x.features, logs, strict=True):
+                scores += np.add.reduceat(table[f], x.word_first, 0)
+            fits = written[:, x.script[x.word_first]].T
+            known = fits.any(1)
+            scores[~known] = 0
+            scores[~fits & known[:, None]] -= 1e4
+            of = np.repeat(owner[low:high], np.diff(x.text_first))
+            origin = np.repeat(x.points_first[:-1], np.diff(x.text_first)) - points_before[of]
+            parts.append((of, scores, known, x.word_letters, x.word_from - origin, x.word_upto - origin))
+        np.add.at(points_before, owner[low:high], np.diff(x.points_first))
+        low = high
+    if not parts:
         return [["und"] * n_texts, np.zeros(n_texts), *([[[] for _ in range(n_texts)]] if with_spans else [])]
-    scores = np.zeros((len(x.word_first), k), np.float32)
-    for f, table in zip(x.features, logs, strict=True):
-        scores += np.add.reduceat(table[f], x.word_first, 0)
-    fits = written[:, x.script[x.word_first]].T
-    known = fits.any(1)
-    scores[~known] = 0
-    scores[~fits & known[:, None]] -= 1e4
-    label = viterbi(scores, x.text_first, SWITCH_PENALTY)
-    text = np.repeat(np.arange(n_texts), np.diff(x.text_first))
-    letters = np.bincount(text * k + label, np.where(known, x.word_letters, 0), n_texts * k).reshape(n_texts, k)
-    total = np.bincount(text, x.word_letters, n_texts)
+    text, scores, known, size, begin, upto = (np.concatenate(x) for x in zip(*parts, strict=True))
+    label = viterbi(scores, np.searchsorted(text, np.arange(n_texts + 1)), SWITCH_PENALTY)
+    letters = np.bincount(text * k + label, np.where(known, size, 0), n_texts * k).reshape(n_texts, k)
+    total = np.bincount(text, size, n_texts)
     best = letters.argmax(1)
     score = np.where(total > 0, letters[np.arange(n_texts), best] / np.maximum(total, 1), 0)
     found = [names[b] if s > 0 else "und" for b, s in zip(best, score, strict=True)]
@@ -214,8 +231,7 @@ def _label(column: pa.Array, model, names: list[str], with_spans: bool) -> list:
     tails = np.append(heads[1:], len(label)) - 1
     spans = [[] for _ in range(n_texts)]
     for h, t in zip(heads.tolist(), tails.tolist(), strict=True):
-        origin = x.points_first[text[h]]
-        spans[text[h]].append({"start": int(x.word_from[h] - origin), "end": int(x.word_upto[t] - origin), "lang": names[label[h]]})
+        spans[text[h]].append({"start": int(begin[h]), "end": int(upto[t]), "lang": names[label[h]]})
     return [found, score, spans]
 
 
@@ -233,5 +249,5 @@ def identify(texts: DataFrame, learn_from: DataFrame, text: str = "text", label:
     if spans:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
         fields.append(("spans", "array<struct<start:bigint,end:bigint,lang:string>>", kind))
-    block = 8_000_000 * 4 // max(4, len(names))
+    block = 6_000_000 * 4 // max(4, len(names))
     return map_texts(texts, text, fields, lambda column: _label(column, shared.value if shared else (None, None), names, spans), block, drop)

@@ -160,3 +160,23 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     total = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=total[1:])
     return points, total[offsets]
+
+
+def pieces(offsets: np.ndarray, data: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets that also cut texts longer than `most` bytes, each time after a separator, and the text of each piece."""
+    cuts, of = [], []
+    for k in np.flatnonzero(np.diff(offsets) > most).tolist():
+        at, end = int(offsets[k]) + most, int(offsets[k + 1])
+        while at < end:
+            ahead = data[at : at + 4096]
+            gap = np.flatnonzero(~WORD_BYTE[ahead])
+            if len(gap):
+                cuts.append(at + int(gap[0]) + 1)
+                of.append(k)
+                at = cuts[-1] + most
+            else:
+                at += 4096
+    if not cuts:
+        return offsets, np.arange(len(offsets) - 1)
+    both = np.insert(offsets[:-1], np.array(of) + 1, cuts)
+    return np.append(both, offsets[-1]), np.insert(np.arange(len(offsets) - 1), np.array(of) + 1, of)
