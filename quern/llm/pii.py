@@ -38,6 +38,8 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 ASSIGNED = re.compile(r"(?i)\b(token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential)s?\b[\x20\t]*[=:][\x20\t]*[\"']?([A-Za-z0-9_\-+/.]{8,})")
 OPAQUE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,}(?![A-Za-z0-9])")
 WRITTEN_MAIL = re.compile(r"(?i)(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}[\x20]?(?:\(at\)|\[at\]|[\x20]at[\x20])[\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?(?:\(dot\)|\[dot\]|[\x20]dot[\x20])[\x20]?[A-Za-z0-9-]{1,63})+")
+WHOLE_PHONE = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])")
+DIGIT_GROUP = re.compile(r"[0-9]++")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.)-])(?<![0-9][\x20])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9-])")
 CUES = {
     "email": ("mail", "contact", "write to", "courriel", "correo"),
@@ -135,6 +137,12 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     for begin, kind, end in failed:
         if end - begin <= 64:
             seen[(begin, kind, end)] = False
+        if kind == 2:  # neighbouring numbers that the base pattern ran together
+            for m in DIGIT_GROUP.finditer(text, begin, end):
+                if 14 <= m.end() - m.start() <= 19 and m.span() != (begin, end):
+                    seen[(m.start(), 2, m.end())] = True
+        elif kind == 3 and (m := WHOLE_PHONE.match(text, begin, end)) and m.end() < end:
+            seen[(begin, 3, m.end())] = True
     for m in ASSIGNED.finditer(text):
         seen[(m.start(2), 4, m.end(2))] = True
     for m in OPAQUE.finditer(text):
