@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, pii, url_filter
+from . import language_id, near_dedup, pii, repeats, url_filter
 from .shared import id_remainder
 
 
@@ -32,5 +32,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii}
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op9_repeats": op9_repeats}
 ORACLE_SQL: dict[str, str] = {}
