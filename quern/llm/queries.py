@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, language_id, near_dedup, pii, repeats, url_filter
+from . import brown_lm, decontaminate, language_id, near_dedup, pii, repeats, url_filter
 from .shared import id_remainder
 
 
@@ -40,5 +40,9 @@ def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), id_remainder("doc_id", 10) == 0)
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op5_brown_lm": op5_brown_lm, "op9_repeats": op9_repeats}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op5_brown_lm": op5_brown_lm, "op9_repeats": op9_repeats, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {}
