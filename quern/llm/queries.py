@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, decontaminate, language_id, near_dedup, pii, repeats, url_filter
+from . import brown_lm, decontaminate, language_id, near_dedup, pii, quality, repeats, url_filter
 from .shared import id_remainder
 
 
@@ -44,5 +44,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op5_brown_lm": op5_brown_lm, "op9_repeats": op9_repeats, "op10_decontaminate": op10_decontaminate}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), drop=("text",))
+    return found.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op5_brown_lm": op5_brown_lm, "op8_quality": op8_quality, "op9_repeats": op9_repeats, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {}
