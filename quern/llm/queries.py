@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, decontaminate, language_id, near_dedup, pii, quality, repeats, url_filter
+from . import brown_lm, decontaminate, language_id, near_dedup, pii, quality, repeats, sentencepiece_codec, url_filter
 from .shared import id_remainder
 
 
@@ -49,5 +49,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op5_brown_lm": op5_brown_lm, "op8_quality": op8_quality, "op9_repeats": op9_repeats, "op10_decontaminate": op10_decontaminate}
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.encode_texts(docs, tokenizer_path("piece_bpe_32k.model"), round_trip=True, drop=("text",))
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op5_brown_lm": op5_brown_lm, "op7_sentencepiece": op7_sentencepiece, "op8_quality": op8_quality, "op9_repeats": op9_repeats, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {}
