@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, decontaminate, language_id, near_dedup, pii, quality, repeats, sentencepiece_codec, url_filter
-from .shared import id_remainder
+from . import brown_lm, decontaminate, language_id, near_dedup, pii, quality, repeats, sentencepiece_codec, token_store, url_filter
+from .shared import Workspace, id_remainder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Workspace(spark, 'tokens').path}/files"
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    token_store.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), definition, path)
+    return token_store.read_tokens(spark, path)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_codec.encode_texts(docs, tokenizer_path("piece_bpe_32k.model"), round_trip=True, drop=("text",))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op5_brown_lm": op5_brown_lm, "op7_sentencepiece": op7_sentencepiece, "op8_quality": op8_quality, "op9_repeats": op9_repeats, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_near_duplicates": op3_near_duplicates, "op4_pii": op4_pii, "op5_brown_lm": op5_brown_lm, "op6_token_files": op6_token_files, "op7_sentencepiece": op7_sentencepiece, "op8_quality": op8_quality, "op9_repeats": op9_repeats, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {}
