@@ -261,12 +261,10 @@ def fit(texts: DataFrame, text: str = "text") -> np.ndarray:
     return train({r["pattern"]: r["n"] for r in counted.collect()})  # at most kinds x 3 ** labelers rows
 
 
-def find(texts: DataFrame, text: str = "text", redact: bool = False, drop: tuple[str, ...] = ()) -> DataFrame:
-    """texts with n_email, n_ip, n_card, n_phone, base_sha256 and spans; with redact, the text's spans give way to their kinds' names."""
+def find(texts: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+    """texts with n_email, n_ip, n_card, n_phone, base_sha256 and spans."""
     weights = fit(texts, text)
     fields = [*((f"n_{k}", "bigint", pa.int64()) for k in KINDS[:4]), ("base_sha256", "string", pa.string()), ("spans", "string", pa.string())]
-    if redact:
-        fields.append((text, "string", pa.string()))
 
     def compute(column: pa.Array) -> list:
         known: dict[str, bool] = {}
@@ -275,10 +273,19 @@ def find(texts: DataFrame, text: str = "text", redact: bool = False, drop: tuple
             base, everything = spans(t or "", weights, known)
             kinds = [k for _, k, _ in base]
             row = [*(kinds.count(k) for k in range(4)), hashlib.sha256(_text_of(base).encode()).hexdigest(), _text_of(everything)]
-            if redact:
-                row.append(t if t is None else redacted(t, everything))
             for values, v in zip(out, row, strict=True):
                 values.append(v)
         return out
 
     return map_texts(texts, text, fields, compute, 4_000_000, drop)
+
+
+def redact_texts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """texts whose spans have given way to the names of their kinds, like <EMAIL>; nulls stay."""
+    weights = fit(texts, text)
+
+    def compute(column: pa.Array) -> list:
+        known: dict[str, bool] = {}
+        return [[t if t is None else redacted(t, spans(t, weights, known)[1]) for t in column.to_pylist()]]
+
+    return map_texts(texts, text, [(text, "string", pa.string())], compute, 4_000_000).select(*[f"`{c}`" for c in texts.columns])
