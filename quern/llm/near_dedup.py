@@ -13,8 +13,8 @@ PRESELECT of all cases (over five standard errors below 0.8) are not computed ex
 Not all pairs of a bucket are looked at: a first round compares each text of a bucket with the bucket's first text, and
 linked texts become one class. In the rounds that follow only buckets that still hold texts of several classes matter;
 there each text is compared with the first text of each other class, so a bucket whose texts are copies of each other
-costs one comparison a text. Last, pairs of texts of two different classes of one bucket are compared where the triangle
-inequality of the distance (1 - similarity is a metric) does not rule a link out. No link that banding proposes is lost.
+costs one comparison a text. Last, all pairs of texts of different classes that still share a bucket are compared inside
+tasks, block by block of at most BLOCK texts against as many; only links become rows. No link that banding proposes is lost.
 
 Defined results: a text that is null or has no word is in a class of its own. Rows without an id join copies only; the
 class id is the smallest id of the class. Columns class_id and is_first of the input are replaced; repeated rows each
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Workspace, map_texts
-from .text import complete, grams, mix, utf8, words
+from .text import blocks, complete, grams, mix, utf8, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -126,7 +126,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 #: Rounds of comparing each text of an open bucket with one text of it, each time another, before the blocks.
 ROUNDS = 3
 #: Members of a bucket that one task compares with each other, or with as many others.
-BLOCK = 1024
+BLOCK = 512
 
 
 def _agreement(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -156,8 +156,6 @@ def _split(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose exact similarity reaches SIMILARITY."""
-    from .text import blocks
-
     def run(batches):
         for whole in batches:
             for x in blocks(whole, "p", 1_000_000):
@@ -194,28 +192,50 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(mixed, "bucket", "left_semi")
 
 
-def _blocked(open_members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs of texts of different classes that share a bucket and may be links, compared in blocks of a bucket's members."""
+def _links_in_block(table: pa.Table) -> pa.Table:
+    """Links between texts of different classes in one block of one bucket's pairs; each pair is looked at in the first bucket it shares."""
+    table = table.combine_chunks()
+    ids, comp, part = (table[n].to_numpy() for n in ("id", "comp", "part"))
+    low, high, bucket = (table[n][0].as_py() for n in ("low", "high", "bucket"))
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
+    own = table["buckets"].combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
+    bag = [x for whole in table.select(["text"]).to_batches() for y in blocks(whole, "text", 1_000_000) for x in _split(y.column(0))]
+    at = np.append(0, np.cumsum([len(h) for h, _ in bag]))
+    kinds, code = np.unique(np.concatenate([h for h, _ in bag]), return_inverse=True)
+    size = np.diff(at)
+    plain = np.array([w.max(initial=1) == 1 for _, w in bag])
+    mark = np.zeros(len(kinds), np.int8)
+    rights = np.flatnonzero(part == high)
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(part == low).tolist():
+        js = rights[(ids[rights] > ids[i]) | (low != high)]
+        js = js[comp[js] != comp[i]]
+        if not len(js):
+            continue
+        js = js[own[i][(own[js] == own[i]).argmax(1)] == bucket]
+        js = js[(sig[js] == sig[i]).mean(1) >= PRESELECT]
+        if not len(js):
+            continue
+        mark[code[at[i] : at[i + 1]]] = 1
+        common = np.add.reduceat(mark[np.concatenate([code[at[j] : at[j + 1]] for j in js])], np.append(0, np.cumsum(size[js])[:-1]), dtype=np.int64)
+        mark[code[at[i] : at[i + 1]]] = 0
+        alike = common / (size[i] + size[js] - common)  # right where no shingle of either text has a weight over 1
+        for j, same in zip(js.tolist(), alike.tolist(), strict=True):
+            if not (plain[i] and plain[j]):
+                same = probability_jaccard(bag[i], bag[j])
+            if same >= SIMILARITY - 1e-9:
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _blocked(open_members: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between texts of different classes that share a bucket, found in blocks of a bucket's members; only links become rows."""
     sizes = open_members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     dealt = open_members.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).join(signed, "id")
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, comp, part = (table[n].to_numpy() for n in ("id", "comp", "part"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        rights = np.flatnonzero(part == high)
-        out = []
-        for i in np.flatnonzero(part == low):
-            js = rights[(ids[rights] > ids[i]) | (low != high)]
-            js = js[comp[js] != comp[i]]
-            if len(js):
-                js = js[(sig[js] == sig[i]).mean(1) >= PRESELECT]
-                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    return dealt.select("bucket", "low", "high", "part", "id", "comp", "sig").groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).join(signed, "id").join(texts, "id")
+    columns = ["bucket", "low", "high", "part", "id", "comp", "sig", "buckets", "text"]
+    return dealt.select(*columns).groupBy("bucket", "low", "high").applyInArrow(_links_in_block, "a long, b long").distinct()
 
 
 def near_duplicate_classes(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,7 +253,7 @@ def near_duplicate_classes(texts: DataFrame, key: str = "doc_id", text: str = "t
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = space.write("members", bands.join(shared, "bucket").select("bucket", "id").distinct())
     ids = members.select("id").distinct()
-    signatures_ = space.write("sigs", chosen.select("id", "sig").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    signatures_ = space.write("sigs", chosen.join(ids, "id", "left_semi").dropDuplicates(["id"]))
     space.drop("chosen")
     wanted = space.write("texts", rows.join(ids, "id", "left_semi").where("text is not null"))
     wanted = wanted.dropDuplicates(["id"]) if wanted.count() != signatures_.count() else wanted
@@ -245,10 +265,10 @@ def near_duplicate_classes(texts: DataFrame, key: str = "doc_id", text: str = "t
             pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("leader"), F.col("comp").alias("leader_comp")))
             leaders = open_members.groupBy("bucket").agg(pick.alias("l")).select("bucket", "l.leader", "l.leader_comp")
             pairs = open_members.join(leaders, "bucket").where("comp <> leader_comp").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-            pairs = _agreement(pairs, signatures_)
+            found = _links(_agreement(pairs, signatures_), wanted)
         else:
-            pairs = _blocked(open_members, signatures_)
-        found = space.write(f"links_{turn}", _links(pairs, wanted))
+            found = _blocked(open_members, signatures_, wanted)
+        found = space.write(f"links_{turn}", found)
         edges = found if edges is None else edges.union(found)
         if labels is None or not found.isEmpty():
             labels = components(space, edges, f"labels_{turn}")
