@@ -168,7 +168,7 @@ def pieces(offsets: np.ndarray, data: np.ndarray, most: int) -> tuple[np.ndarray
     for k in np.flatnonzero(np.diff(offsets) > most).tolist():
         at, end = int(offsets[k]) + most, int(offsets[k + 1])
         while at < end:
-            ahead = data[at : at + 4096]
+            ahead = data[at : min(at + 4096, end)]
             gap = np.flatnonzero(~WORD_BYTE[ahead])
             if len(gap):
                 cuts.append(at + int(gap[0]) + 1)
