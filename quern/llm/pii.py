@@ -110,7 +110,7 @@ def _votes(text: str, kind: int, begin: int, end: int, strict: bool, kept: bool)
     name = KINDS[kind]
     if name == "card":
         digits = NOT_DIGIT.sub("", span)
-        checks = 1 if luhn(digits) else -1
+        checks = 1 if luhn(digits) and 14 <= len(digits) <= 19 else -1
         list_says = 1 if digits[0] in "3456" and 14 <= len(digits) <= 19 else -1
     elif name == "ip":
         checks = 1 if kept else -1
