@@ -1 +1 @@
-
+"""Streams of cells and of log fragments."""
