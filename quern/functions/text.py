@@ -55,9 +55,10 @@ def compression(name: Column) -> Column:
 
 def bytes_text(size: Column) -> Column:
     """26.5 MB: steps of 1024 up to TB, one decimal."""
-    out = F.format_string("%.1f TB", size / 1024.0**4)
+    # ties to even, as C formats; Java's formatter rounds them up
+    out = F.format_string("%.1f TB", F.bround(size / 1024.0**4, 1))
     for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
-        out = F.when(size < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", size / 1024.0**k)).otherwise(out)
+        out = F.when(size < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(size / 1024.0**k, 1))).otherwise(out)
     return out
 
 

@@ -433,7 +433,7 @@ def stream_fragments(spark, sf_dir):
     talks.coalesce(1).write.mode("overwrite").parquet(f"file://{folder}/in")
     rows = spark.readStream.schema(talks.schema).parquet(f"file://{folder}/in")
     name = "quern_stream_fragments"
-    query = fragments.join(rows).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"file://{folder}/state").trigger(availableNow=True).start()
+    query = fragments.join(rows, patience=None).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"file://{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name).where("not unfinished").select("line", "log", "partials")
 

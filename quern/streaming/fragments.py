@@ -15,9 +15,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUT = "source string, line long, log string, partials int, unfinished boolean"
 
 
-def join(records: DataFrame, patience: str = "10 minutes") -> DataFrame:
-    """records: source, line, part (P for a fragment that is not the last), log."""
-    milliseconds = int(pd.Timedelta(patience).total_seconds() * 1000)
+def join(records: DataFrame, patience: str | None = "10 minutes") -> DataFrame:
+    """records: source, line, part (P for a fragment that is not the last), log.
+
+    With patience a query runs on for as long as fragments wait, also under a trigger that would end by itself; without,
+    they wait in the state for the next run.
+    """
+    milliseconds = int(pd.Timedelta(patience).total_seconds() * 1000) if patience else 0
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if patience else GroupStateTimeout.NoTimeout
 
     def step(key, batches: Iterable[pd.DataFrame], state: GroupState):
         lines, logs = (list(x) for x in state.get) if state.exists else ([], [])
@@ -36,10 +41,11 @@ def join(records: DataFrame, patience: str = "10 minutes") -> DataFrame:
                 lines, logs = [], []
         if lines:
             state.update((lines, logs))
-            state.setTimeoutDuration(milliseconds)
+            if milliseconds:
+                state.setTimeoutDuration(milliseconds)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["source", "line", "log", "partials", "unfinished"])
 
     kept = records.select("source", "line", "part", "log")
-    return kept.groupBy("source").applyInPandasWithState(step, OUT, "lines array<long>, logs array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return kept.groupBy("source").applyInPandasWithState(step, OUT, "lines array<long>, logs array<string>", "append", timeout)
