@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from .shared import Workspace
 from .text import LOWER, blocks, hash_spans, mix, spans_of_words, utf8
 
-CLUSTERED = 2000
+CLUSTERED = 1500
 CLASSES = 64
 OPEN = 32
 ROUNDS = 4
 ALPHA = 0.1
-BLOCK_BYTES = 20_000_000
+BLOCK_BYTES = 10_000_000
 END = np.uint64(0x2545F4914F6CDD1D)
 N_CLASSES = CLASSES + OPEN + 1
 END_CLASS = N_CLASSES - 1
