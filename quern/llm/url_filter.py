@@ -3,8 +3,8 @@
 Two variable-order Markov models, one of the URLs that a rule accepts and one of those that a rule rejects, give every
 character a probability after up to ORDER characters before it: Witten-Bell weights join each context to the next shorter
 one, and contexts seen fewer than MIN_CONTEXT times are left out, so the order in use varies from place to place. A URL's
-score is the mean over its characters of the log ratio. A fifth of the URLs with a rule take no part in the counts; the
-threshold that best separates their two classes (Youden's J over hundredths of a nat) decides the URLs that no rule fits.
+score is the mean over its characters of the log ratio. Three in sixteen URLs with a rule (by the first digit of their md5)
+take no part in the counts; the threshold that best separates their two classes (Youden's J over hundredths of a nat) decides the URLs that no rule fits.
 
 URLs are lower-cased and spelt in 42 symbols (digits are one symbol, rare characters another), so the models have at
 most 42 ** 4 rows whatever the input. Counts are taken over all distinct URLs. Their table is broadcast if it has at most
@@ -27,7 +27,7 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 ORDER = 3
 MIN_CONTEXT = 4
 SYMBOLS = 42
-CALIBRATION_PART = 5
+CALIBRATION_DIGITS = ("0", "1", "2")
 BROADCAST_ROWS = 400_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -110,7 +110,7 @@ def filter_urls(pages: DataFrame, column: str = "url", rules=RULES) -> DataFrame
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     urls = pages.select(F.col(column).alias("quern_url")).where("quern_url is not null").distinct()
     urls = urls.select("quern_url", host_of(url).alias("host"), path_of(url).alias("path"), spelling(url).alias("spelt"))
-    urls = urls.select("quern_url", "spelt", verdict.alias("verdict"), (F.crc32(url.cast("binary")) % CALIBRATION_PART == 0).alias("held"))
+    urls = urls.select("quern_url", "spelt", verdict.alias("verdict"), F.left(F.md5(url.cast("binary")), F.lit(1)).isin(*CALIBRATION_DIGITS).alias("held"))
     urls = space.write("urls", urls)
     counted = [F.sum(((F.col("verdict") == v) & ~F.col("held")).cast("long")).alias(c) for v, c in (("allow", "accepted"), ("block", "rejected"))]
     counts = _grams(urls).groupBy("gram").agg(*[F.coalesce(c, F.lit(0)).alias(n) for c, n in zip(counted, ("accepted", "rejected"), strict=True)])
@@ -125,3 +125,36 @@ def filter_urls(pages: DataFrame, column: str = "url", rules=RULES) -> DataFrame
     out = out.withColumns({"host": host_of(F.col(column)), "path": path_of(F.col(column)), "threshold": F.lit(limit)})
     out = out.withColumns({"rule": rule, "judged": verdict})
     return out.withColumn("verdict", F.coalesce("judged", F.when(F.col("score") >= limit, "allow").otherwise("block"))).drop("judged")
+
+
+def sql(table: str = "pages", rules=RULES) -> str:
+    """DuckDB SQL for page_id, host, path, rule and verdict of filter_urls()."""
+    fits = []
+    for says, text in sorted(rules, key=lambda r: (len(r[1]), r[1]), reverse=True):
+        name, _, tail = text.partition("/")
+        fits.append((f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{tail}')", text, says))
+    rule = " ".join(f"WHEN {c} THEN '{t}'" for c, t, _ in fits)
+    says = " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in fits)
+    levels = []
+    for order in range(ORDER, -1, -1):
+        source = "SELECT gram, a, r FROM counts" if order == ORDER else f"SELECT substr(gram, 2) AS gram, sum(a) AS a, sum(r) AS r FROM g{order + 1} GROUP BY 1"
+        levels.append(f"g{order} AS ({source}), c{order} AS (SELECT left(gram, {order}) AS context, sum(a) AS na, sum(r) AS nr, count(*) FILTER (a > 0) AS ka, count(*) FILTER (r > 0) AS kr FROM g{order} GROUP BY 1)")
+    for order in range(ORDER + 1):
+        least = MIN_CONTEXT if order else 1
+        pa, pr = (f"m.p{c}" if order else f"(1.0 / {SYMBOLS})" for c in "ar")
+        below = f"JOIN m{order - 1} m ON m.gram = substr(g.gram, 2)" if order else ""
+        p = [f"CASE WHEN n{c} >= {least} THEN (g.{c} + k{c} * {x}) / (n{c} + k{c}) ELSE {x} END AS p{c}" for c, x in (("a", pa), ("r", pr))]
+        levels.append(f"m{order} AS (SELECT g.gram, {p[0]}, {p[1]} FROM g{order} g JOIN c{order} c ON c.context = left(g.gram, {order}) {below})")
+    held = ", ".join(f"'{d}'" for d in CALIBRATION_DIGITS)
+    return f"""WITH cut AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM {table}),
+split AS (SELECT page_id, url, rest, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+ruled AS (SELECT *, CASE {rule} END AS rule, CASE {says} END AS judged FROM split),
+urls AS (SELECT DISTINCT url, judged, left(md5(url), 1) IN ({held}) AS held, '{"^" * ORDER}' || nullif(regexp_replace(translate(coalesce(rest, url), '{UPPER}123456789', '{LOWER}000000000'), '[^a-z0/._?&=#%:+~\\-]', '*', 'g'), '') || '$' AS spelt FROM ruled WHERE url IS NOT NULL),
+places AS (SELECT url, judged, held, substr(spelt, k, {ORDER + 1}) AS gram FROM (SELECT *, unnest(range(1, length(spelt) - {ORDER - 1})) AS k FROM urls WHERE spelt IS NOT NULL)),
+counts AS (SELECT gram, count(*) FILTER (judged = 'allow' AND NOT held) AS a, count(*) FILTER (judged = 'block' AND NOT held) AS r FROM places GROUP BY 1),
+{", ".join(levels)},
+scores AS (SELECT url, any_value(judged) AS judged, any_value(held) AS held, avg(ln(pa) - ln(pr)) AS score FROM places JOIN m{ORDER} USING (gram) GROUP BY 1),
+bins AS (SELECT greatest(-1600, least(1600, floor(score * 100))) AS bin, count(*) FILTER (judged = 'allow') AS a, count(*) FILTER (judged = 'block') AS r FROM scores WHERE held AND judged IS NOT NULL GROUP BY 1),
+shares AS (SELECT bin, coalesce(sum(r) OVER w, 0) / greatest(sum(r) OVER (), 1) - coalesce(sum(a) OVER w, 0) / greatest(sum(a) OVER (), 1) AS j FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+chosen AS (SELECT coalesce((SELECT bin / 100 FROM shares WHERE j > 0 ORDER BY j DESC, bin LIMIT 1), 0) AS threshold)
+SELECT page_id, host, path, rule, coalesce(r.judged, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict FROM ruled r LEFT JOIN scores s ON r.url = s.url, chosen"""
