@@ -12,6 +12,7 @@ from .operators import podlogs
 from .operators import profile as P
 from .plans import manifest
 from .settings import NULL_WORDS, NUMBER, WATCHED_WORDS
+from .sources.scratch import new_folder
 
 PROFILED = {"customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "orders": ("o_orderkey", "o_orderstatus", "o_orderpriority"), "part": ("p_name", "p_brand", "p_type", "p_size"), "events": ("user_id", "event_type", "props"), "documents": ("lang", "source")}
 
@@ -369,12 +370,13 @@ def literal_csv_roundtrip(spark, sf_dir):
     import bz2
     import gzip
     import lzma
-    import tempfile
+    import os
 
     from .plans import directory
     from .sources import literal_csv as L
 
-    folder = tempfile.mkdtemp(prefix="quern-csv-")
+    folder = new_folder(spark, "csv").removeprefix("file://").removeprefix("file:")  # the reader opens mounted paths
+    os.makedirs(folder)
     columns = list(PROFILED["customer"])
     body = table(spark, sf_dir, "customer").select(*columns).orderBy("c_custkey").toPandas().to_csv(index=False).encode()
     paths = []
@@ -406,16 +408,14 @@ def draft_markdown(spark, sf_dir):
 
 
 def stream_profile(spark, sf_dir):
-    import tempfile
-
     from .streaming import profile as stream
 
-    folder = tempfile.mkdtemp(prefix="quern-stream-")
+    folder = new_folder(spark, "stream")
     events = table(spark, sf_dir, "events")
-    events.write.mode("overwrite").parquet(f"file://{folder}/in")
-    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{folder}/in")
+    events.write.mode("overwrite").parquet(f"{folder}/in")
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     name = "quern_stream_profile"
-    stream.run(rows, ["event_type", "user_id"], name, f"file://{folder}/state").awaitTermination()
+    stream.run(rows, ["event_type", "user_id"], name, f"{folder}/state").awaitTermination()
     return P.profile(spark.table(name), ("column_name",)).select("column_name", "rows_seen", "distinct_count", "number_count")
 
 
@@ -424,16 +424,14 @@ FROM (SELECT 'event_type' AS column_name, event_type AS value FROM events UNION
 
 
 def stream_fragments(spark, sf_dir):
-    import tempfile
-
     from .streaming import fragments
 
-    folder = tempfile.mkdtemp(prefix="quern-stream-")
+    folder = new_folder(spark, "stream")
     talks = table(spark, sf_dir, "conversations").selectExpr("CAST(conv_id AS STRING) AS source", "conv_id * 1000 + turn AS line", "CASE WHEN turn % 3 = 2 THEN 'F' ELSE 'P' END AS part", "text AS log")
-    talks.coalesce(1).write.mode("overwrite").parquet(f"file://{folder}/in")
-    rows = spark.readStream.schema(talks.schema).parquet(f"file://{folder}/in")
+    talks.coalesce(1).write.mode("overwrite").parquet(f"{folder}/in")
+    rows = spark.readStream.schema(talks.schema).parquet(f"{folder}/in")
     name = "quern_stream_fragments"
-    query = fragments.join(rows, patience=None).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"file://{folder}/state").trigger(availableNow=True).start()
+    query = fragments.join(rows, patience=None).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name).where("not unfinished").select("line", "log", "partials")
 
