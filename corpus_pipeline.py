@@ -15,7 +15,7 @@ from quern.llm.queries import table, tokenizer_path
 from quern.llm.shared import Workspace
 
 #: A text stays if at least this share of its letters is in one of the learned languages.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from .shared import map_texts
 from .text import complete, grams, hash_spans, mix, utf8, words
 
 SAMPLE = 20_000
-KEEP = 0.99
+KEEP = 0.999
 TREES, DEPTH, BINS, RATE, LEAST_LEAF, PENALTY = 60, 4, 32, 0.15, 20.0, 1.0
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True

@@ -3,23 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a session without one a new local folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="quern-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from ..sources.scratch import new_folder
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -38,7 +26,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_folder(spark)}/quern-{name}-{uuid.uuid4().hex[:12]}"
+        self.path = new_folder(spark, name)
         atexit.register(_delete, spark, self.path)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
