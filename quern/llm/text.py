@@ -26,14 +26,22 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+#: Bytes that are hashed at once; a longer span is hashed alone.
+HASH_BYTES = 1_000_000
+
+
 def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers
+    """Powers of the base and of its inverse, at least n; kept if they are of the usual size."""
+    if len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(max(n, HASH_BYTES + 4096), base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= HASH_BYTES + 4096:
+        _powers[:] = made
+    return made
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -105,7 +113,7 @@ def spans_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte ranges that are in order and do not overlap."""
     out = np.empty(len(starts), np.uint64)
-    done, most = 0, 4 * BLOCK_BYTES
+    done, most = 0, HASH_BYTES
     while done < len(starts):
         low = int(starts[done])
         upto = max(done + 1, int(np.searchsorted(ends, low + most, "right")))
