@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -20,7 +21,7 @@ class Memo:
         self.offsets = np.zeros(1, np.int64)
         self.flat = np.empty(0, np.int32)
 
-    def ids(self, hashes: np.ndarray, make: Callable[[np.ndarray], list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, hashes: np.ndarray, make: Callable[[np.ndarray], Sequence[Sequence[int]]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all hashed texts in a row and the texts' sizes; make() gets the indices of texts that are new, each once."""
         kinds, first, of = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > self.most:
@@ -33,7 +34,7 @@ class Memo:
             made = make(first[new])
             rows = len(self.offsets) - 1 + np.arange(len(made))
             self.offsets = np.append(self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in made]))
-            self.flat = np.concatenate([self.flat, *made]).astype(np.int32)
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(made), np.int32))
             self.known = np.insert(self.known, at[new], kinds[new])
             self.row = np.insert(self.row, at[new], rows)
         row = self.row[np.searchsorted(self.known, kinds)][of] if len(kinds) else np.empty(0, np.int64)
