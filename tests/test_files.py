@@ -37,7 +37,7 @@ def test_bad_texts(text, why):
 def folder(tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    jobs = b"username,exit_code\nchulwoo,0\nazamatm,1\n"
+    jobs = b"username,exit_code\nannika,0\nboris,1\n"
     (source / "jobs.csv").write_bytes(jobs)
     (source / "packed.csv.gz").write_bytes(gzip.compress(jobs))
     (source / "packed2.csv.bz2").write_bytes(bz2.compress(jobs))

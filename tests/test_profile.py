@@ -70,7 +70,7 @@ def test_numbers(spark):
 @pytest.mark.parametrize(
     ("name", "values", "verdict"),
     [
-        ("username", ["chulwoo", "azamatm"], "NOT consistent"), ("username_id", ["1", "76", "30861277613258"], "all digits"), ("username_id", ["1", "2", "x"], "NOT consistent"), ("username", ["", ""], None),
+        ("username", ["annika", "boris"], "NOT consistent"), ("username_id", ["1", "76", "30861277613258"], "all digits"), ("username_id", ["1", "2", "x"], "NOT consistent"), ("username", ["", ""], None),
         ("script", ["/home/c/run.py"], "paths"), ("notes", ["see /home/x for details"], None), ("runtime_seconds", ["1", "2"], None),
     ],
 )
