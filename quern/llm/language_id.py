@@ -249,5 +249,5 @@ def identify(texts: DataFrame, learn_from: DataFrame, text: str = "text", label:
     if spans:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
         fields.append(("spans", "array<struct<start:bigint,end:bigint,lang:string>>", kind))
-    block = 6_000_000 * 4 // max(4, len(names))
+    block = 4_000_000 * 4 // max(4, len(names))
     return map_texts(texts, text, fields, lambda column: _label(column, shared.value if shared else (None, None), names, spans), block, drop)

@@ -23,7 +23,13 @@ class Memo:
 
     def ids(self, hashes: np.ndarray, make: Callable[[np.ndarray], Sequence[Sequence[int]]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all hashed texts in a row and the texts' sizes; make() gets the indices of texts that are new, each once."""
-        kinds, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(hashes)
+        kinds = hashes[order]
+        head = np.ones(len(kinds), bool)
+        head[1:] = kinds[1:] != kinds[:-1]
+        of = np.empty(len(kinds), np.int64)
+        of[order] = np.cumsum(head) - 1
+        kinds, one = kinds[head], order[head]  # one place of each
         if len(self.known) > self.most:
             self.forget()
         at = np.searchsorted(self.known, kinds)
@@ -31,13 +37,14 @@ class Memo:
         inside = at < len(self.known)
         new[inside] = self.known[at[inside]] != kinds[inside]
         if new.any():
-            made = make(first[new])
+            made = make(one[new])
             rows = len(self.offsets) - 1 + np.arange(len(made))
             self.offsets = np.append(self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in made]))
             self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(made), np.int32))
             self.known = np.insert(self.known, at[new], kinds[new])
             self.row = np.insert(self.row, at[new], rows)
-        row = self.row[np.searchsorted(self.known, kinds)][of] if len(kinds) else np.empty(0, np.int64)
+            at += np.cumsum(new) - new  # as many new ones stand before
+        row = self.row[at][of]
         size = self.offsets[row + 1] - self.offsets[row]
         total = np.cumsum(size)
         ids = self.flat[np.arange(total[-1] if len(total) else 0) + np.repeat(self.offsets[row] - (total - size), size)]

@@ -18,6 +18,18 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: batches are bounded by bytes rather than rows. A session that has set a smaller bound keeps it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Workspace:
     """Written tables of one run of an operator, under the shared folder.
 
@@ -27,6 +39,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = new_folder(spark, name)
+        small_batches(spark)
         atexit.register(_delete, spark, self.path)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
@@ -73,6 +86,7 @@ def map_texts(df: DataFrame, column: str, fields: list[tuple[str, str, object]],
     schema = T.StructType([*kept, *(T.StructField(n, T._parse_datatype_string(sql)) for n, sql, _ in fields)])
     names = [f.name for f in kept]
     hidden = "quern_text"
+    small_batches(df.sparkSession)
     passed = df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{column}`").alias(hidden))
 
     def run(batches):
@@ -81,5 +95,6 @@ def map_texts(df: DataFrame, column: str, fields: list[tuple[str, str, object]],
                 columns = compute(part.column(hidden))
                 made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, (_, _, kind) in zip(columns, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=[*names, *(n for n, _, _ in fields)])
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return passed.mapInArrow(run, schema)
