@@ -283,10 +283,11 @@ def near_duplicate_classes(texts: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def first_of_each_class(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of texts whose id is the class id of their class; of repeated rows with one id the copies go."""
-    classes = near_duplicate_classes(texts, key, text)
+    """The rows of texts whose id is the class id of their class; of repeated rows with one id one stays. Rows without an id all stay."""
     space = Workspace(texts.sparkSession, "firsts")
-    classes = space.write("classes", classes)
-    firsts = classes.where(F.col(key).isNull() | (F.col(key) == F.col("class_id"))).select(F.col(key).alias("quern_id"))
-    kept = texts.join(firsts.distinct(), F.col(key).eqNullSafe(F.col("quern_id")), "left_semi")
-    return kept if firsts.count() == firsts.distinct().count() else kept.dropDuplicates([key])
+    classes = space.write("classes", near_duplicate_classes(texts, key, text))
+    firsts = classes.where(F.col(key) == F.col("class_id")).select(key)
+    kept = texts.join(firsts.distinct(), key, "left_semi")
+    if firsts.count() != firsts.distinct().count():
+        kept = kept.dropDuplicates([key])
+    return kept.select(*texts.columns).union(texts.where(F.col(key).isNull()))

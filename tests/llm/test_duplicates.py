@@ -85,6 +85,12 @@ def test_one_of_each_class_stays(docs, rows):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(i for i, c in expected.items() if i == c)
 
 
+def test_rows_without_id_and_repeated_rows(spark):
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "m n o p q r"), (3, "m n o p q r"), (4, None), (5, None)]
+    kept = near_dedup.first_of_each_class(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(kept.collect(), key=repr) == sorted([(None, "a b c d e f"), (None, "g h i j k l"), (1, "a b c d e f"), (3, "m n o p q r"), (4, None), (5, None)], key=repr)
+
+
 def removed_by_hand(rows):
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
