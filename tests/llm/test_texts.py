@@ -108,6 +108,20 @@ def test_language_model_in_blocks_is_the_same(docs, monkeypatch):
     assert {r["doc_id"]: (r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in brown_lm.score_texts(docs, held).collect()} == one
 
 
+def test_words_beyond_the_clustered_ones_learn_their_class(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "CLUSTERED", 8)
+    rng = random.Random(5)
+    frequent = [[f"{g}{i}" for i in range(4)] for g in "xy"]
+    rare = [[f"{g}{i}zz" for i in range(30)] for g in "pq"]  # all end alike
+    texts = [" ".join(rng.choice(rare[k % 2] if rng.random() < 0.2 else frequent[k % 2]) for k in range(20)) for _ in range(300)]
+    right, wrong = (" ".join(rare[(k + swap) % 2][k] for k in range(20)) for swap in (0, 1))
+    frame = spark.createDataFrame([*enumerate(texts), (1000, right), (1001, wrong)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in brown_lm.score_texts(frame, frame["doc_id"] >= 1000).collect()}
+    assert got[1000]["n_known"] == got[1001]["n_known"] == 21
+    assert got[1000]["score"] > got[1001]["score"] + 3
+    assert brown_lm.class_count(0) == brown_lm.CLASSES and brown_lm.class_count(10**9) == 1000
+
+
 def test_class_model_is_a_distribution_and_exchange_helps():
     rng = np.random.default_rng(0)
     group = rng.permutation(np.repeat(np.arange(3), 10))
