@@ -32,6 +32,8 @@ QUERY_CHARACTERS = 4_000_000
 FILTER_BITS = 22
 #: Characters of text that are looked at together; a longer text goes in overlapping pieces.
 PIECE = 1_000_000
+#: Pairs of a q-gram hit and an item's place that are sorted at once; bands that go on are carried over.
+SLICE = 2_000_000
 
 
 @cache
@@ -166,7 +168,8 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[i
         text = np.searchsorted(at, hit, "right") - 1
         inside = hit + Q <= at[text + 1]
         hit, low, n, text = hit[inside], low[inside], n[inside], text[inside]
-        for some in _slices(n, 2_000_000):
+        kept, kept_spots = np.empty((0, 3), np.int64), np.empty(0, np.int64)
+        for some in _slices(n, SLICE):
             entry = np.repeat(low[some], n[some]) + np.arange(n[some].sum()) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
             where, owner = np.repeat(hit[some], n[some]), np.repeat(text[some], n[some])
             item, diagonal = items.item[entry], where - items.place[entry]
@@ -174,13 +177,19 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[i
             # bands of 2 * width diagonals that overlap by width: any width neighbouring diagonals are in one of them
             band = (diagonal - at[owner] + (1 << 20)) // width
             keys = np.stack([np.concatenate([owner, owner]), np.concatenate([item, item]), np.concatenate([band, band - 1])], 1)
-            order = np.lexsort(keys.T[::-1])
-            keys, spots = keys[order], np.concatenate([items.place[entry]] * 2)[order]
-            new = np.append(True, (keys[1:] != keys[:-1]).any(1))
-            head = np.flatnonzero(new)
+            keys, spots = np.concatenate([kept, keys]), np.concatenate([kept_spots, *[items.place[entry]] * 2])
+            order = np.lexsort((spots, *keys.T[::-1]))
+            keys, spots = keys[order], spots[order]
             # the lemma counts q-grams of the item, so one that the region holds twice is one
-            distinct = np.append(True, new[1:] | (spots[1:] != spots[:-1]))
-            count = np.add.reduceat(distinct.astype(np.int64), head) if len(head) else head
+            distinct = np.append(True, (keys[1:] != keys[:-1]).any(1) | (spots[1:] != spots[:-1]))
+            keys, spots = keys[distinct], spots[distinct]
+            if some.stop < len(hit):
+                # bands that hits still to come may fall into are counted with those
+                last = at[keys[:, 0]] + (keys[:, 2] + 2) * (items.budgets[keys[:, 1]] + 1) - (1 << 20) + items.lengths[keys[:, 1]]
+                later = (last >= hit[some.stop]) & (keys[:, 0] == text[some.stop])
+                kept, kept_spots, keys = keys[later], spots[later], keys[~later]
+            head = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))) if len(keys) else np.empty(0, np.int64)
+            count = np.diff(np.append(head, len(keys)))
             for k in head[count >= items.needed[keys[head, 1]]].tolist():
                 owner_, item_, band_ = keys[k].tolist()
                 budget, length = int(items.budgets[item_]), int(items.lengths[item_])

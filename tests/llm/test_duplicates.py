@@ -175,3 +175,24 @@ def test_edits_up_to_the_budget_are_found(spark):
 
         assert [i for _, i, _ in decontaminate.matches(*utf8(pa.array([document])), items)] == [[0, 3][k]]
         del text
+
+
+def test_items_are_counted_whole_over_slices_of_hits(monkeypatch):
+    import pyarrow as pa
+
+    from quern.llm.text import utf8
+
+    rng = random.Random(11)
+    whole = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100))
+    prompt = "answer the following question with one of the words that follow it "
+    bodies = [whole, "short item 14x", *(prompt + "".join(rng.choice("abcdefgh") for _ in range(20)) for _ in range(30)), "ab" * 60]
+    changed = "".join("Z" if k % 12 == 6 else c for k, c in enumerate(whole))
+    texts = ["before " + changed + " after", "so short item 14x is here", *(prose(rng, "en", 20) + " " + b + " " + prose(rng, "en", 20) for b in bodies[2:]), "ab" * 400]
+    items = decontaminate.Items(list(range(len(bodies))), bodies)
+    data, offsets = utf8(pa.array(texts))
+    expected = decontaminate.matches(data, offsets, items)
+    assert {(k, k) for k in range(len(bodies))} <= {(t, i) for t, i, _ in expected}
+    slices = decontaminate._slices
+    for most in (1, 7, 100):
+        monkeypatch.setattr(decontaminate, "_slices", lambda n, _, most=most: slices(n, most))
+        assert decontaminate.matches(data, offsets, items) == expected
