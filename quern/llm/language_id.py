@@ -5,8 +5,9 @@ that script; the log-likelihoods of its centred 3-grams and 5-grams of letters s
 of a text, with a penalty for each change of language, labels them. Runs of words with one label are spans. The text's
 language is the one with the most letters, its score that language's share of the letters.
 
-The n-gram tables have 2 ** BITS rows an order, whatever the input, and are fitted on at most SAMPLE_TEXTS labelled texts
-a language (about; chosen by a hash of the id) for the MAX_LANGUAGES most frequent languages. All texts are labelled whole.
+Every label is learned. The n-gram tables are fitted on at most SAMPLE_TEXTS labelled texts a language (about; chosen by a
+hash of the id). They have 2 ** BITS rows an order for up to FULL_LANGUAGES languages and half as many each time the
+languages double, 2 ** LEAST_BITS at least: they grow with the labels only beyond 4,096. All texts are labelled whole.
 
 Defined results: a null text or one without letters is `und` with score 0. If no language could be learned, all are `und`.
 Of equally good languages the alphabetically first wins. A word in a script of no learned language counts for none of them.
@@ -27,7 +28,8 @@ from .text import code_points, pieces, utf8
 
 BITS = 16
 SAMPLE_TEXTS = 3000
-MAX_LANGUAGES = 64
+FULL_LANGUAGES = 64
+LEAST_BITS = 10
 SWITCH_PENALTY = 12.0
 #: A script counts as one of a language's own from this share of its letters on.
 SCRIPT_SHARE = 0.01
@@ -75,10 +77,15 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return script, lower
 
 
+def table_bits(languages: int) -> int:
+    """Bits of a bucket in tables for so many languages."""
+    return max(LEAST_BITS, BITS - max(0, (languages - 1) // FULL_LANGUAGES).bit_length())
+
+
 class Letters:
-    """Letters of a block of texts, word by word: spelling features, scripts and positions."""
+    """Letters of a block of texts, word by word: spelling features (of so many bits), scripts and positions."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, bits: int = BITS):
         scripts, lower = tables()
         points, first = code_points(data, offsets)
         script = scripts[points]
@@ -113,7 +120,7 @@ class Letters:
         r2 = np.where(before_last, 0, padded[4 : n + 4])
         three = spelt * np.uint64(0x9E3779B97F4A7C15) + l1 * np.uint64(0xC2B2AE3D27D4EB4F) + r1 * np.uint64(0x165667B19E3779F9)
         five = three * np.uint64(0xD6E8FEB86659FD93) + l2 * np.uint64(0xFF51AFD7ED558CCD) + r2 * np.uint64(0xC4CEB9FE1A85EC53)
-        down = np.uint64(64 - BITS)
+        down = np.uint64(64 - bits)
         self.features = [((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> down).astype(np.int64) for x in (three, five)]
 
 
@@ -121,7 +128,8 @@ def _fit(texts: DataFrame, text: str, label: str, names: list[str]) -> tuple[np.
     """Tables of centred log-likelihoods [order, bucket, language], and which language is written in which script."""
     rows = len(names)
     of = {name: k for k, name in enumerate(names)}
-    size = 2 << BITS
+    bits = table_bits(rows)
+    size = 2 << bits
 
     def count(batches):
         total = np.zeros((rows, size + N_SCRIPTS), np.int64)
@@ -131,10 +139,10 @@ def _fit(texts: DataFrame, text: str, label: str, names: list[str]) -> tuple[np.
 
             done = 0
             for part in blocks(b, "text"):
-                x = Letters(*utf8(part.column(0)))
+                x = Letters(*utf8(part.column(0)), bits)
                 mine = np.repeat(labels[done : done + part.num_rows], np.diff(x.text_first))[x.word_of]
                 for k, f in enumerate(x.features):
-                    total[:, k << BITS : (k + 1) << BITS] += np.bincount(mine * (1 << BITS) + f, minlength=rows << BITS).reshape(rows, -1)
+                    total[:, k << bits : (k + 1) << bits] += np.bincount(mine * (1 << bits) + f, minlength=rows << bits).reshape(rows, -1)
                 total[:, size:] += np.bincount(mine * N_SCRIPTS + x.script, minlength=rows * N_SCRIPTS).reshape(rows, -1)
                 done += part.num_rows
         who, where = np.nonzero(total)
@@ -144,8 +152,8 @@ def _fit(texts: DataFrame, text: str, label: str, names: list[str]) -> tuple[np.
     got = counts.groupBy("who", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most languages x slots
     total = np.zeros((rows, size + N_SCRIPTS))
     total[got["who"].to_numpy(), got["slot"].to_numpy()] = got["n"].to_numpy()
-    tables_ = total[:, :size].reshape(rows, 2, 1 << BITS)
-    logs = np.log((tables_ + 0.5) / (tables_.sum(2, keepdims=True) + 0.5 * (1 << BITS)))
+    tables_ = total[:, :size].reshape(rows, 2, 1 << bits)
+    logs = np.log((tables_ + 0.5) / (tables_.sum(2, keepdims=True) + 0.5 * (1 << bits)))
     logs -= logs.mean(0, keepdims=True)
     scripts = total[:, size:]
     written = scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(1, keepdims=True))
@@ -194,13 +202,15 @@ def _label(column: pa.Array, model, names: list[str], with_spans: bool) -> list:
     data, offsets = utf8(column)
     n_texts, k = len(offsets) - 1, len(names)
     logs, written = model
-    ends, owner = pieces(offsets, data, PIECE_BYTES)
+    piece = max(1, PIECE_BYTES * FULL_LANGUAGES // max(FULL_LANGUAGES, k))
+    bits = table_bits(k)
+    ends, owner = pieces(offsets, data, piece)
     parts: list[tuple] = []
     points_before = np.zeros(n_texts, np.int64)
     low = 0
     while low < len(owner) and k:
-        high = max(low + 1, int(np.searchsorted(ends, ends[low] + PIECE_BYTES, "right")) - 1)
-        x = Letters(data[ends[low] : ends[high]], ends[low : high + 1] - ends[low])
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + piece, "right")) - 1)
+        x = Letters(data[ends[low] : ends[high]], ends[low : high + 1] - ends[low], bits)
         scores = np.zeros((len(x.word_first), k), np.float32)
         if len(x.word_first):
             for f, table in zip(x.features, logs, strict=True):
@@ -238,10 +248,12 @@ def _label(column: pa.Array, model, names: list[str], with_spans: bool) -> list:
 def identify(texts: DataFrame, learn_from: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", spans: bool = False, drop: tuple[str, ...] = ()) -> DataFrame:
     """texts with lang_pred, score and, if asked for, spans (code points, end exclusive); learned from the labelled rows of learn_from."""
     labelled = learn_from.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    found = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LANGUAGES).collect()
+    found = labelled.groupBy(label).count().orderBy(F.desc("count"), label).collect()  # a row a label
     share: Column = F.lit(0)
-    for name, n in found:
-        share = F.when(F.col(label) == name, F.lit(min(1_000_000, round(1_000_000 * SAMPLE_TEXTS / n)))).otherwise(share)
+    for k, (name, n) in enumerate(found):
+        most = F.lit(min(1_000_000, round(1_000_000 * SAMPLE_TEXTS / n)))
+        share = share.when(F.col(label) == name, most) if k else F.when(F.col(label) == name, most)
+    share = share.otherwise(0) if found else share
     names = sorted(name for name, _ in found)
     sample = labelled.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)) < share)
     shared = texts.sparkSession.sparkContext.broadcast(_fit(sample, text, label, names)) if names else None

@@ -1,6 +1,7 @@
 """URL filter, language identification and quality rules."""
 
 import collections
+import random
 import re
 
 import numpy as np
@@ -74,6 +75,18 @@ def test_language(docs, rows, nothing):
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_every_label_is_learned(spark):
+    rng = random.Random(17)
+    rows, names = [], [f"l{k:02}" for k in range(70)]
+    for k, name in enumerate(names):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)]
+        rows += [(len(rows) + j, " ".join(rng.choice(own) for _ in range(40)), name) for j in range(4 if k < 64 else 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(frame.drop("lang"), frame).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {i: name for i, _, name in rows}
+    assert [language_id.table_bits(n) for n in (0, 4, 64, 65, 128, 129, 5000)] == [16, 16, 16, 15, 15, 14, 10]
+
+
 def test_mixed_text_gets_spans(spark, docs, rows):
     en, de = rows[2][1].strip(), rows[16][1].strip()
     mixed = spark.createDataFrame([(1, en + " " + de)], "doc_id long, text string")
