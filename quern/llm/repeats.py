@@ -1,23 +1,25 @@
 """Repeated passages: suffixes of all texts in prefix-partitioned suffix trees, and texts without their repeats.
 
-A window is WINDOW consecutive words of one text. Every window is a suffix of its text, cut to WINDOW words, and belongs
-to one tree: that of its prefix, the gram of PREFIX words in it with the smallest hash (the leftmost of equals). As the
-choice depends on the window's words alone, equal windows meet in one tree. Neighbouring windows mostly share their gram,
-so a run of them travels as one segment of words. Grams that occur once hold no repeat and go before any words travel.
-
-A tree of more than GROUP segments is dealt by document to trees of at most about GROUP segments; the first occurrences
-that these find go, with the whole window as their prefix, to a second round of trees. So the prefix grows where a short
-one is too frequent, a tree's size is bounded, and a passage that a third of all texts share costs each part one window.
-
-A tree is held as its sorted suffixes and the lengths of their neighbours' common prefixes, both numpy arrays; the
-internal nodes of depth WINDOW are the intervals of suffixes with WINDOW words in common. Of such a node's leaves all but
-the earliest (smallest id, then smallest position) are repeats, and each word under a repeat is removed.
-
-Words travel as 32-bit hashes: windows that differ count as equal with a probability of at most 2 ** -32 a word that differs.
-
-Defined results: a null text is an empty one; texts of under WINDOW words have no window. Ids should be unique; rows with
-one id count as one document and a null id comes after all others. Columns of the input with the names of the result's
-columns are replaced.
+A window is WINDOW consecutive words of one text; every window is a suffix of its text, looked at to that depth. The
+suffixes of all texts are dealt by their prefixes: repartitionByRange cuts the order of suffixes at sampled bounds, and a
+bound is a prefix as long as it takes (some words where a prefix is rare, a whole window and a place in the corpus where a
+passage is in a third of all texts), so that each group has about GROUP suffixes. A group's tree is held as an enhanced
+suffix array: its leaves in order, and the common prefix of neighbours. The intervals of leaves with WINDOW words in common
+are the internal nodes of that depth; of a node's leaves all but the earliest are repeats. Neighbouring repeats of a text
+are joined: the spans are its parts of maximal repeats. Groups are read leaf by leaf and take no memory; where a node goes
+on from one group to the next, the groups' first and last leaves are compared.
+
+A suffix travels as 128 bits: 32 of its first EDGE words, 32 of twice as many, 64 of all its words, all from 64-bit hashes
+of words; suffixes that differ anywhere differ in the last 64 but for one in 2 ** 64.
+
+Two things go before. Of texts with the same words in the same order only the earliest has suffixes: all of WINDOW words
+or more in the others are repeats. And a window of which the gram of ANCHOR words with the smallest hash (which depends on
+the window's words alone) occurs once in the corpus is no repeat; windows that share that gram are one row meanwhile.
+
+Defined results: earlier is in the order of ids, null ids last; rows with one id are different documents, in the order of
+xxhash64 of their texts; of rows alike in both any one is the first. A null text is an empty one; texts of under WINDOW
+words have no window. Ids may be of any type with an order. Columns of the input with the names of the result's columns
+are replaced.
 """
 
 from __future__ import annotations
@@ -30,31 +32,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
-from .text import blocks, complete, grams, utf8, words
+from .shared import Workspace, map_texts, parts_for
+from .text import blocks, complete, grams, mix, order_hashes, utf8, words
 
 WINDOW = 20
-PREFIX = 5
-GROUP = 20_000
-#: Windows that one numpy tree holds.
-TREE_WINDOWS = 150_000
-LAST_ID = (1 << 63) - 1
-_INDEX = np.uint64((1 << 26) - 1)
+EDGE = 7
+ANCHOR = 10
+#: Suffixes of a group.
+GROUP = 400_000
+_SUM = np.uint64(0x9FB21C651E98DF25)
 
 
 def runs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows with one gram: index of the first window, number of windows, hash of the gram."""
+    """Runs of neighbouring windows with one anchor: index of the first window, number of windows, hash of the anchor."""
     ok = complete(first, WINDOW)
     if not ok.any():
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    g = grams(hashes, PREFIX)
-    least = (g & ~_INDEX) | np.arange(len(g), dtype=np.uint64)
-    span, need = 1, WINDOW - PREFIX + 1
+    g = grams(hashes, ANCHOR)
+    index = np.uint64((1 << len(g).bit_length()) - 1)
+    least = (g & ~index) | np.arange(len(g), dtype=np.uint64)
+    span, need = 1, WINDOW - ANCHOR + 1
     while span < need:
         step = min(span, need - span)
         least = np.minimum(least[:-step], least[step:])
         span += step
-    anchor = (least & _INDEX).astype(np.int64)
+    anchor = (least & index).astype(np.int64)
     new = ok.copy()
     new[1:] &= ~ok[:-1] | (anchor[1:] != anchor[:-1])
     at = np.flatnonzero(new)
@@ -63,151 +65,153 @@ def runs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at, np.flatnonzero(ends) + 1 - at, g[anchor[at]]
 
 
+def suffixes(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128 bits of the windows that begin at some words: those of EDGE and 2 * EDGE words, and those of all words."""
+    edges = grams(hashes, EDGE)
+    one = edges[at]
+    two = mix(one * _SUM ^ edges[at + EDGE])
+    whole = mix(two * _SUM ^ edges[at + WINDOW - EDGE])
+    low = np.uint64(0xFFFFFFFF)
+    return (one & ~low) | (two & low), whole
+
+
 def _run_rows(batches):
-    schema = pa.schema([("gram", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+    names = ["gram", "row", "start", "n"]
     for whole in batches:
         for x in blocks(whole, "text"):
-            w = words(*utf8(x.column(1)))
+            w = words(*utf8(x.column("text")))
             at, n, gram = runs(w.hashes, w.first)
             text = np.searchsorted(w.first, at, "right") - 1
-            ids = x.column(0).to_numpy(zero_copy_only=False)[text]
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(ids), pa.array((at - w.first[text]).astype(np.int32)), pa.array(n.astype(np.int32))], schema=schema)
+            rows = x.column("row").to_numpy()[text]
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(rows), pa.array((at - w.first[text]).astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
 
 
-def _segment_rows(batches):
-    """For each text and its listed runs (start, n, gram, parts): a row with the run's words."""
+def _suffix_rows(batches):
+    """For each text and its listed runs (start, n): a row for each of their windows."""
     for whole in batches:
         for x in blocks(whole, "text"):
             w = words(*utf8(x.column("text")))
-            short = (w.hashes >> np.uint64(32)).astype(np.uint32)
             listed = x.column("runs")
             flat = listed.flatten()
-            of = np.repeat(np.arange(x.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))
-            start, n, gram, parts = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            fits = start + n + WINDOW - 1 <= np.diff(w.first)[of]  # not so only if two texts have one id
-            of, start, n, gram, parts = of[fits], start[fits], n[fits], gram[fits], parts[fits]
-            size = n + WINDOW - 1
-            offsets = np.append(0, np.cumsum(size)).astype(np.int64)
-            index = np.arange(offsets[-1]) + np.repeat(w.first[of] + start - offsets[:-1], size)
-            body = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(short[index])])
-            ids = x.column("id").to_numpy(zero_copy_only=False)[of]
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(parts), pa.array(ids), pa.array(start), body], names=["gram", "parts", "id", "start", "body"])
-
-
-def _earlier(group: np.ndarray, matrix: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For windows in order of (group, id, start): which of them repeat an earlier one of their group, and which is the first of its kind."""
-    n = len(matrix)
-    keys = np.empty((n, WINDOW + 1), ">u4")
-    keys[:, 0] = group
-    keys[:, 1:] = matrix
-    order = np.argsort(keys.view(f"S{4 * (WINDOW + 1)}").reshape(-1), kind="stable")  # the leaves, left to right
-    same = keys[order[1:]] == keys[order[:-1]]
-    depth = np.where(same.all(1), WINDOW, same.argmin(1) - 1)  # common words of neighbouring leaves
-    node = np.append(0, np.cumsum(depth < WINDOW))  # the internal node of depth WINDOW over each leaf, or the leaf itself
-    head = np.flatnonzero(np.append(True, depth < WINDOW))
-    firsts = order[head][node]
-    repeat = np.zeros(n, bool)
-    repeat[order] = (ids[order] != ids[firsts]) | (starts[order] != starts[firsts])
-    first = np.zeros(n, bool)
-    first[order[head]] = True
-    return repeat, first
-
-
-_FOUND = pa.schema([("id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("prefix", pa.int64()), ("body", pa.binary())])
-FOUND = "id long, start int, n int, prefix long, body binary"
-
-
-def _grow(table: pa.Table):
-    """Repeats (id, start, n) in the trees of a table of whole groups; and first occurrences in groups that are parts of one tree."""
-    body = table["body"].combine_chunks()
-    flat, at = utf8(body)
-    flat, at = np.frombuffer(flat.tobytes(), np.uint32), at // 4
-    n = np.diff(at) - WINDOW + 1
-    gram, part, parts, ids, start = (table[c].to_numpy() for c in ("gram", "part", "parts", "id", "start"))
-    new = np.ones(len(n), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])
-    segment = np.repeat(np.arange(len(n)), n)
-    within = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
-    group = (np.cumsum(new) - 1)[segment]
-    begin, place, doc = start[segment] + within, at[:-1][segment] + within, ids[segment]
-    order = np.lexsort((begin, doc, group))
-    segment, group, begin, place, doc = segment[order], group[order], begin[order], place[order], doc[order]
-    matrix = flat[place[:, None] + np.arange(WINDOW)]
-    repeat, first = _earlier(group, matrix, doc, begin)
-    r_doc, r_begin = doc[repeat], begin[repeat]
-    by = np.lexsort((r_begin, r_doc))
-    r_doc, r_begin = r_doc[by], r_begin[by]
-    if len(by):
-        new = np.ones(len(by), bool)
-        new[1:] = (r_doc[1:] != r_doc[:-1]) | (r_begin[1:] != r_begin[:-1] + 1)
+            of = np.repeat(np.arange(x.num_rows), listed.value_lengths().to_numpy())
+            start, n = (flat.field(k).to_numpy() for k in range(2))
+            begin = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            of = np.repeat(of, n)
+            if len(of):
+                a, b = suffixes(w.hashes, w.first[of] + begin)
+                rows = x.column("row").to_numpy()[of]
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(rows), pa.array(begin.astype(np.int32))], names=["a", "b", "row", "start"])
+
+
+#: Kinds of rows that a group's tree gives: repeats, its first leaf, its last leaf.
+REPEAT, HEAD, TAIL = 0, 1, 2
+_LEAF = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("row", pa.int64()), ("start", pa.int32())])
+LEAF = "kind int, a long, b long, row long, start int"
+
+
+def common_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of neighbouring leaves: the depth in words (0, EDGE, 2 * EDGE or WINDOW) of their lowest common node."""
+    deep = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    return np.where(deep, WINDOW, np.where(a[1:] == a[:-1], 2 * EDGE, np.where(a[1:] >> 32 == a[:-1] >> 32, EDGE, 0)))
+
+
+def _leaves(batches):
+    """Repeats among the leaves of a group, which come in order; and its first and its last leaf."""
+
+    def edge(kind: int, leaf: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((kind, *leaf), _LEAF, strict=True)], schema=_LEAF)
+
+    last = None
+    for x in batches:
+        if not x.num_rows:
+            continue
+        a, b, row, start = (x.column(n).to_numpy() for n in ("a", "b", "row", "start"))
+        if last is None:
+            yield edge(HEAD, (a[0], b[0], row[0], start[0]))
+            depth = np.append(0, common_words(a, b))
+        else:
+            depth = common_words(np.append(last[0], a), np.append(last[1], b))
+        repeat = pa.array(depth == WINDOW)  # leaves of a node of that depth that are not its first
+        last = a[-1], b[-1], row[-1], start[-1]
+        n = int((depth == WINDOW).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, REPEAT, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), x.column("row").filter(repeat), x.column("start").filter(repeat)], schema=_LEAF)
+    if last is not None:
+        yield edge(TAIL, last)
+
+
+def _spans(batches):
+    """Starts in order of (row, start) to one row a text: its runs of neighbouring starts as (start, n)."""
+    schema = pa.schema([("row", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())])))])
+
+    def made(row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+        new = np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))
         head = np.flatnonzero(new)
-        size = np.diff(np.append(head, len(by)))
-        yield pa.RecordBatch.from_arrays([pa.array(r_doc[head]), pa.array(r_begin[head].astype(np.int32)), pa.array(size.astype(np.int32)), pa.nulls(len(head), pa.int64()), pa.nulls(len(head), pa.binary())], schema=_FOUND)
-    onward = np.flatnonzero(first & (parts[segment] > 1))
-    if len(onward):
-        whole = matrix[onward]
-        prefix = grams(whole.astype(np.uint64).reshape(-1), WINDOW)[::WINDOW]
-        rows = np.ascontiguousarray(whole).tobytes()
-        bodies = pa.array([rows[k * 4 * WINDOW : (k + 1) * 4 * WINDOW] for k in range(len(onward))], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(doc[onward]), pa.array(begin[onward].astype(np.int32)), pa.array(np.ones(len(onward), np.int32)), pa.array(prefix.view(np.int64)), bodies], schema=_FOUND)
-
-
-def _tree_rows(batches):
-    """Rows come group by group; a group is never cut."""
-    held: list[pa.RecordBatch] = []
-    windows = 0
-    for whole in batches:
-        begin = 0
-        lengths = np.diff(utf8(whole.column("body"))[1]) // 4 - WINDOW + 1
-        upto = np.cumsum(lengths)
-        gram, part = (whole.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "part"))
-        cuts = np.flatnonzero((gram[1:] != gram[:-1]) | (part[1:] != part[:-1])) + 1
-        cuts = np.append(0, cuts)  # a group may go on from the batch before
-        if held and whole.num_rows and (held[-1].column("gram")[-1].as_py(), held[-1].column("part")[-1].as_py()) == (gram[0], part[0]):
-            cuts = cuts[1:]
-        for c in cuts.tolist():
-            if windows + (upto[c - 1] if c else 0) - (upto[begin - 1] if begin else 0) >= TREE_WINDOWS:
-                if c > begin:
-                    held.append(whole.slice(begin, c - begin))
-                yield from _grow(pa.Table.from_batches(held))
-                held, windows, begin = [], 0, c
-        if begin < whole.num_rows:
-            held.append(whole.slice(begin))
-            windows += int(upto[-1] - (upto[begin - 1] if begin else 0))
+        n = np.diff(np.append(head, len(row)))
+        text = np.flatnonzero(np.append(True, row[head][1:] != row[head][:-1]))
+        spans = pa.StructArray.from_arrays([pa.array(start[head].astype(np.int32)), pa.array(n.astype(np.int32))], ["start", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(row[head][text]), pa.ListArray.from_arrays(pa.array(np.append(text, len(head)), pa.int32()), spans)], schema=schema)
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for x in batches:
+        if not x.num_rows:
+            continue
+        row, start = x.column("row").to_numpy(), x.column("start").to_numpy()
+        cut = int(np.searchsorted(row, row[-1]))  # the last text may go on in the next batch
+        if held and row[0] != held[0][0][0]:
+            yield made(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held = []
+        if cut:
+            held.append((row[:cut], start[:cut]))
+            yield made(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held = []
+        held.append((row[cut:], start[cut:]))
     if held:
-        yield from _grow(pa.Table.from_batches(held))
-
-
-def _trees(segments: DataFrame) -> DataFrame:
-    """Segments (gram, part, parts, id, start, body) to what their trees find."""
-    dealt = segments.repartition("gram", "part").sortWithinPartitions("gram", "part")
-    return dealt.select("gram", "part", "parts", "id", "start", "body").mapInArrow(_tree_rows, FOUND)
-
-
-def repeats(texts: DataFrame, space: Workspace) -> DataFrame:
-    """(id, start, n) runs of windows that repeat an earlier one. texts: id, text."""
-    found = space.write("runs", texts.mapInArrow(_run_rows, "gram long, id long, start int, n int"))
-    often = space.write("grams", found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", F.ceil(F.col("n") / GROUP).cast("int").alias("parts")))
-    kept = found.join(often, "gram")
-    listed = space.write("listed", kept.groupBy("id").agg(F.collect_list(F.struct("start", "n", "gram", "parts")).alias("runs")))  # of one text
-    space.drop("runs", "grams")
-    segments = texts.join(listed, "id").select("id", "text", "runs").mapInArrow(_segment_rows, "gram long, parts int, id long, start int, body binary")
-    segments = space.write("segments", segments.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+        yield made(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def _sums(column: pa.Array) -> list:
+    return [pa.array(h.view(np.int64)) for h in order_hashes(words(*utf8(column)))]
+
+
+def _numbered(texts: DataFrame, space: Workspace) -> DataFrame:
+    """(row, id, text, h1, h2) of texts (id, text): row is in the order of documents, h1 and h2 are equal for texts of the same words."""
+    hashed = map_texts(texts, "text", [("h1", "bigint", pa.int64()), ("h2", "bigint", pa.int64())], _sums, 2_000_000)
+    order = ["last", "id", "h", "place"]
+    hashed = hashed.withColumns({"last": F.col("id").isNull(), "h": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = hashed.repartitionByRange(parts_for(volume), *order).sortWithinPartitions(*order)
+    return space.write("base", dealt.select(F.monotonically_increasing_id().alias("row"), "id", "text", "h1", "h2"), "zstd")
+
+
+def repeats(base: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Rows of later copies (row), and of other texts (row, spans): runs (start, n) of windows that repeat an earlier one. base: as of _numbered."""
+    copies = space.write("copies", base.where("h1 <> 0").groupBy("h1", "h2").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"))
+    again = space.write("again", base.select("row", "h1", "h2").join(copies, ["h1", "h2"]).where("row <> first").select("row"))
+    found = space.write("runs", base.select("row", "text").mapInArrow(_run_rows, "gram long, row long, start int, n int"))
+    often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    kept = found.join(often, "gram").join(again, "row", "left_anti")
+    listed = space.write("listed", kept.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("runs"), F.sum("n").alias("n")))  # of one text
+    space.drop("runs", "copies")
+    total = listed.agg(F.sum("n")).first()[0] or 0
+    groups = parts_for(total, GROUP)
+    order = ["a", "b", "row", "start"]
+    dealt = base.select("row", "text").join(listed.select("row", "runs"), "row").mapInArrow(_suffix_rows, "a long, b long, row long, start int")
+    leaves = space.write("leaves", dealt.repartitionByRange(groups, *order).sortWithinPartitions(*order).mapInArrow(_leaves, LEAF))
     space.drop("listed")
-    one = space.write("found", _trees(segments))
-    space.drop("segments")
-    onward = one.where("body is not null").select(F.col("prefix").alias("gram"), F.lit(0).alias("part"), F.lit(1).alias("parts"), "id", "start", "body")
-    out = one.where("body is null").select("id", "start", "n")
-    return out.union(_trees(onward).select("id", "start", "n"))
+    # a group's first leaf is a repeat if its node has begun in an earlier group: two rows a group
+    head, tail = leaves.where(F.col("kind") == HEAD), leaves.where(F.col("kind") == TAIL).select("a", "b", F.struct("row", "start").alias("before"))
+    goes_on = head.join(tail, ["a", "b"]).where(F.col("before") < F.struct("row", "start")).select("row", "start").distinct()
+    starts = leaves.where(F.col("kind") == REPEAT).select("row", "start").union(goes_on)
+    return again, starts.repartition(groups, "row").sortWithinPartitions("row", "start").mapInArrow(_spans, "row long, spans array<struct<start:int,n:int>>")
 
 
 def without_repeats(texts: DataFrame, key: str = "doc_id", text: str = "text", rewrite: bool = False) -> DataFrame:
     """key, n_words, n_removed and kept_sha256 of each row of texts; with rewrite also the kept words as text."""
     space = Workspace(texts.sparkSession, "repeats")
-    rows = texts.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text).alias("text"))
-    found = space.write("repeats", repeats(rows, space))
-    space.drop("found")
-    removed = found.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("removed"))  # of one text
+    base = _numbered(texts.select(F.col(key).alias("id"), F.col(text).alias("text")), space)
+    again, spans = repeats(base, space)
+    removed = space.write("removed", spans.withColumn("copy", F.lit(False)).unionByName(again.withColumn("copy", F.lit(True)), allowMissingColumns=True))
+    space.drop("leaves", "again")
     names = ["id", "n_words", "n_removed", "kept_sha256", *([text] if rewrite else [])]
 
     def run(batches):
@@ -216,26 +220,24 @@ def without_repeats(texts: DataFrame, key: str = "doc_id", text: str = "text", r
                 data, at = utf8(x.column("text"))
                 data = data.tobytes()
                 out: list[tuple] = []
-                for k, spans in enumerate(x.column("removed").to_pylist()):
+                for k, (copy, own_spans) in enumerate(zip(x.column("copy").to_pylist(), x.column("spans").to_pylist(), strict=True)):
                     own = data[at[k] : at[k + 1]].split()  # at bytes 0x20 and 0x09 to 0x0D
-                    n_removed = 0
-                    if spans:
-                        change = np.zeros(len(own) + 1, np.int32)
-                        begin = np.array([s["start"] for s in spans])
-                        end = np.minimum(begin + np.array([s["n"] for s in spans]) + WINDOW - 1, len(own))
-                        np.add.at(change, np.minimum(begin, len(own)), 1)
-                        np.add.at(change, end, -1)
-                        keep = np.cumsum(change[:-1]) <= 0
-                        n_removed = int(len(own) - keep.sum())
-                        kept = b" ".join(compress(own, keep.tolist()))
-                    else:
-                        kept = b" ".join(own)
-                    out.append((len(own), n_removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if rewrite else None))
+                    n = len(own)
+                    if copy and n >= WINDOW:
+                        own = []
+                    elif own_spans:
+                        change = np.zeros(n + 1, np.int32)
+                        begin = np.array([s["start"] for s in own_spans])
+                        np.add.at(change, begin, 1)
+                        np.add.at(change, begin + np.array([s["n"] for s in own_spans]) + WINDOW - 1, -1)
+                        own = list(compress(own, (np.cumsum(change[:-1]) <= 0).tolist()))
+                    kept = b" ".join(own)
+                    out.append((n, n - len(own), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if rewrite else None))
                 columns = [x.column("id"), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())]
                 if rewrite:
                     columns.append(pa.array([r[3] for r in out], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "id long, n_words long, n_removed long, kept_sha256 string" + (f", `{text}` string" if rewrite else "")
-    out = rows.join(removed, "id", "left").select("id", "text", "removed").mapInArrow(run, schema)
-    return out.withColumn("id", F.when(F.col("id") != LAST_ID, F.col("id"))).withColumnRenamed("id", key)
+    schema = f"id {base.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + (f", `{text}` string" if rewrite else "")
+    out = base.join(removed, "row", "left").select("id", "text", "spans", "copy").mapInArrow(run, schema)
+    return out.withColumnRenamed("id", key)

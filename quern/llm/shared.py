@@ -30,6 +30,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: Partitions that a step asks for at most; with more data they grow, as sorts and hash joins spill.
+MOST_PARTS = 20_000
+
+
+def parts_for(volume: int, each: int = 32 << 20) -> int:
+    """Partitions of about `each` (bytes or rows) of a volume, from 1 to MOST_PARTS."""
+    return max(1, min(MOST_PARTS, -(-volume // each)))
+
+
 class Workspace:
     """Written tables of one run of an operator, under the shared folder.
 
@@ -42,9 +51,9 @@ class Workspace:
         small_batches(spark)
         atexit.register(_delete, spark, self.path)
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
+    def write(self, name: str, df: DataFrame, compression: str = "snappy") -> DataFrame:
         """Writes df and returns a reader of the written table."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        df.write.mode("overwrite").option("compression", compression).parquet(f"{self.path}/{name}")
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:

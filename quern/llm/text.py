@@ -6,6 +6,7 @@ so words can be found, compared and hashed on the bytes of an Arrow column witho
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,27 +22,8 @@ WORD_BYTE[list(SEPARATORS)] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-#: Bytes that are hashed at once; a longer span is hashed alone.
-HASH_BYTES = 1_000_000
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, at least n; kept if they are of the usual size."""
-    if len(_powers[0]) >= n:
-        return _powers
-    made = []
-    for base in (_BASE, _INVERSE):
-        steps = np.full(max(n, HASH_BYTES + 4096), base, np.uint64)
-        steps[0] = 1
-        made.append(np.multiply.accumulate(steps))
-    if n <= HASH_BYTES + 4096:
-        _powers[:] = made
-    return made
+#: Bytes of a word that are hashed eight at a time with those of all other words; a longer word is hashed alone.
+LONG_WORD = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -54,6 +36,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Of a word's size what its hash begins with, and which bits of eight bytes are its own.
+_SEEDS = mix(np.arange(LONG_WORD + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _step(h: np.ndarray, eight: np.ndarray) -> np.ndarray:
+    return mix(h * np.uint64(0x9FB21C651E98DF25) ^ eight)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the offsets of its texts; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -111,21 +102,23 @@ def spans_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges that are in order and do not overlap."""
-    out = np.empty(len(starts), np.uint64)
-    done, most = 0, HASH_BYTES
-    while done < len(starts):
-        low = int(starts[done])
-        upto = max(done + 1, int(np.searchsorted(ends, low + most, "right")))
-        high = int(ends[upto - 1])
-        powers, inverses = _power_tables(high - low + 1)
-        total = np.empty(high - low + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * powers[: high - low], out=total[1:])
-        a, b = starts[done:upto] - low, ends[done:upto] - low
-        out[done:upto] = (total[b] - total[a]) * inverses[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        done = upto
-    return mix(out)
+    """64-bit hashes of byte ranges: their size, then eight bytes at a time, each through mix. Ranges of one size of up to eight bytes never share a hash."""
+    size = ends - starts
+    if not len(size):
+        return np.empty(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), np.uint64, padded, strides=(1,))  # the eight bytes from each byte on
+    out = _step(_SEEDS[np.minimum(size, LONG_WORD)], eights[starts] & _MASKS[np.minimum(size, 8)])
+    some = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    at, left = starts[some] + 8, size[some] - 8
+    while len(some):
+        out[some] = _step(out[some], eights[at] & _MASKS[np.minimum(left, 8)])
+        on = left > 8
+        some, at, left = some[on], at[on] + 8, left[on] - 8
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -133,6 +126,18 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(starts, ends, hash_spans(data, starts, ends), first)
 
 
+def order_hashes(w: Words) -> list[np.ndarray]:
+    """Two hashes of each text's words in their order; 0 for a text without any."""
+    count = np.diff(w.first)
+    place = (np.arange(len(w.hashes)) - np.repeat(w.first[:-1], count)).astype(np.uint64)
+    out = []
+    for salt in (1, 2):
+        total = np.zeros(len(w.hashes) + 1, np.uint64)
+        np.cumsum(mix(w.hashes + place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)), out=total[1:])
+        out.append(np.where(count > 0, total[w.first[1:]] - total[w.first[:-1]] | np.uint64(1), np.uint64(0)))
+    return out
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash for each n consecutive word hashes; the caller drops those that cross texts."""
     if len(hashes) < n:

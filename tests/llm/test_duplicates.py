@@ -92,8 +92,9 @@ def test_rows_without_id_and_repeated_rows(spark):
 
 
 def removed_by_hand(rows):
-    seen, out = set(), {}
-    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+    """rows: (id, text, xxhash64 of the text)."""
+    seen, out = set(), []
+    for i, text, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2])):
         words = (text or "").encode().split()
         gone = [False] * len(words)
         for k in range(len(words) - 19):
@@ -102,33 +103,80 @@ def removed_by_hand(rows):
                 gone[k : k + 20] = [True] * 20
             seen.add(window)
         kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
-        out[i] = (len(words), sum(gone), hashlib.sha256(kept).hexdigest())
-    return out
+        out.append((i, len(words), sum(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("group", [20_000, 2])
-def test_repeats(docs, rows, nothing, monkeypatch, group):
+def check_repeats(df):
+    from pyspark.sql import functions as F
+
+    rows = [tuple(r) for r in df.select("doc_id", "text", F.xxhash64("text")).collect()]
+    got = sorted(map(tuple, repeats.without_repeats(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr)
+    assert got == removed_by_hand(rows)
+    return got
+
+
+@pytest.mark.parametrize("group", [400_000, 40])
+def test_repeats(docs, nothing, monkeypatch, group):
     monkeypatch.setattr(repeats, "GROUP", group)
-    got = repeats.without_repeats(docs).collect()
-    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == removed_by_hand([(r[0], r[1]) for r in rows])
-    assert sum(r["n_removed"] for r in got) > 0
+    assert sum(r[2] for r in check_repeats(docs)) > 0
     assert repeats.without_repeats(nothing).count() == 0
 
 
-def test_trees_in_small_batches(monkeypatch):
+def test_repeats_with_null_repeated_and_text_ids(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, "en", 90) for _ in range(3))
+    inner = prose(rng, "de", 30)
+    rows = [(None, inner + " " + inner), (None, a), (None, b + " " + inner), (1, c), (1, a + " " + b), (1, a + " " + b), (2, c), (2, "few words"), (2, "few words"), (3, None), (3, "")]
+    got = check_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r[:3] for r in got if r[0] == 2] == [(2, 2, 0), (2, 2, 0), (2, 90, 90)]
+    check_repeats(spark.createDataFrame([(None if i is None else f"id {i}", t) for i, t in rows], "doc_id string, text string").na.fill("~", ["doc_id"]))
+
+
+def test_a_passage_in_most_texts_and_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", 50)
+    rng = random.Random(3)
+    passage = prose(rng, "en", 24)
+    long = " ".join(prose(rng, "fr", 60) if k % 3 else passage for k in range(200))
+    check_repeats(spark.createDataFrame([(k, prose(rng, "de", 5) + " " + passage) for k in range(150)] + [(200, long), (201, "ab " * 300)], "doc_id long, text string"))
+
+
+def test_rewritten_texts_hold_what_is_kept(spark):
+    rng = random.Random(6)
+    a = prose(rng, "en", 40)
+    got = {r["doc_id"]: r for r in repeats.without_repeats(spark.createDataFrame([(1, a, 5), (2, "see " + a + " end", 6)], "doc_id long, text string, n_words long"), rewrite=True).collect()}
+    assert got[1]["text"] == " ".join(a.split()) and got[2]["text"] == "see end"
+
+
+def test_leaves_and_spans_over_batches():
     rng = np.random.default_rng(1)
-    words = rng.integers(0, 3, 400).astype(np.uint32)
-    n = 60
-    start = np.arange(n) * 6
-    body = [words[s : s + 22].tobytes() for s in start]
-    table = pa.RecordBatch.from_pydict({"gram": np.sort(rng.integers(0, 4, n)), "part": np.zeros(n, np.int32), "parts": np.ones(n, np.int32), "id": np.zeros(n, np.int64), "start": start.astype(np.int32), "body": body})
-
-    def found(batches):
-        return sorted((i, s + k) for b in repeats._tree_rows(batches) for i, s, m in zip(b["id"].to_pylist(), b["start"].to_pylist(), b["n"].to_pylist(), strict=True) for k in range(m))
-
-    whole = found([table])
-    monkeypatch.setattr(repeats, "TREE_WINDOWS", 5)
-    assert found([table.slice(k, 7) for k in range(0, n, 7)]) == whole
+    a, b = np.sort(rng.integers(0, 3, 200)) << 33, np.zeros(200, np.int64)
+    b[1::3] = 1
+    b = b[np.lexsort((b, a))]
+    table = pa.RecordBatch.from_pydict({"a": a, "b": b, "row": np.arange(200), "start": np.zeros(200, np.int32)})
+    seen, expected = set(), []
+    for k in range(200):
+        if (a[k], b[k]) in seen:
+            expected.append(k)
+        seen.add((a[k], b[k]))
+    for step in (1, 7, 200):
+        parts = pa.Table.from_batches(repeats._leaves([table.slice(k, step) for k in range(0, 200, step)])).to_pylist()
+        assert [r["row"] for r in parts if r["kind"] == repeats.REPEAT] == expected
+        assert [(r["kind"], r["row"]) for r in parts if r["kind"] != repeats.REPEAT] == [(repeats.HEAD, 0), (repeats.TAIL, 199)]
+    places = pa.RecordBatch.from_pydict({"row": np.array([1, 1, 1, 4, 4, 6]), "start": np.array([2, 3, 7, 0, 1, 5], np.int32)})
+    for step in (1, 2, 6):
+        got = [(r["row"], [(s["start"], s["n"]) for s in r["spans"]]) for x in repeats._spans([places.slice(k, step) for k in range(0, 6, step)]) for r in x.to_pylist()]
+        assert got == [(1, [(2, 2), (7, 1)]), (4, [(0, 2)]), (6, [(5, 1)])]
+
+
+def test_words_that_a_polynomial_confuses():
+    x, y = "a", "b"
+    for _ in range(11):
+        x, y = x + y, y + x
+    from quern.llm.text import utf8, words
+
+    w = words(*utf8(pa.array([f"{x} {y} {x} ab ab\0 ba", x * 2 + " " + y * 2])))
+    assert len(set(w.hashes.tolist())) == 7 and w.hashes[0] == w.hashes[2]
 
 
 ITEMS = [(1, prose(random.Random(1), "en", 40)), (2, prose(random.Random(2), "de", 25)), (3, "tiny"), (4, ""), (5, None), (6, prose(random.Random(3), "fr", 60)), (6, "twice listed item of a few words")]
