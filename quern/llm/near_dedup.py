@@ -5,20 +5,25 @@ occurs. For every shingle a Poisson process whose rate is the weight deals arriv
 keeps the shingle that arrives first. Two texts agree in a register with the probability Jaccard similarity of their
 bags. A text's processes end as soon as their next arrival is later than all that its registers hold.
 
-Texts with the same words in the same order are copies and are treated as one. BANDS bands of ROWS registers propose
-pairs: a pair of similarity 0.8 meets in at least one band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.999993. A
-pair is a link if the exact probability Jaccard of its bags is 0.8 or more; pairs whose registers agree in under
-PRESELECT of all cases (over five standard errors below 0.8) are not computed exactly.
-
-Not all pairs of a bucket are looked at: a first round compares each text of a bucket with the bucket's first text, and
-linked texts become one class. In the rounds that follow only buckets that still hold texts of several classes matter;
-there each text is compared with the first text of each other class, so a bucket whose texts are copies of each other
-costs one comparison a text. Last, all pairs of texts of different classes that still share a bucket are compared inside
-tasks, block by block of at most BLOCK texts against as many; only links become rows. No link that banding proposes is lost.
-
-Defined results: a text that is null or has no word is in a class of its own. Rows without an id join copies only; the
-class id is the smallest id of the class. Columns class_id and is_first of the input are replaced; repeated rows each
-get their row.
+Rows are numbered once, in a written table, and all steps go by that number: ids may be null, repeated, or of any type with
+an order. Rows with the same words in the same order are copies and are treated as one text. BANDS bands of ROWS registers
+propose pairs: a pair of similarity 0.8 meets in at least one band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS =
+0.999993. A pair is a link if the exact probability Jaccard of its bags is 0.8 or more; pairs whose registers agree in
+under PRESELECT of all cases are not computed exactly, which loses a link of similarity 0.8 with a probability of some
+10 ** -7 (over five standard errors).
+
+Not all pairs of a bucket are looked at. In each round a text is compared with one other: of all its buckets' leaders the
+first. A bucket's first leader is its first text; in later rounds only buckets that still hold texts of several classes
+matter, and each has leaders of two classes, so that each of its texts meets one of another class. Linked texts become one
+class. So n copies of a text cost n comparisons a round. Last, the pairs of texts of different classes that still share a
+bucket are compared inside tasks, block by block of at most BLOCK texts (and BLOCK_BYTES) against as many: signatures first,
+and texts only for those that agree with any; only links become rows. No other pair that banding proposes is lost.
+
+Buckets of any size are dealt with their size at hand: their members are spread over parts of SPREAD for each join.
+
+Defined results: a text that is null or has no word is in a class of its own. The class id is the smallest id of the class,
+null if no row of it has one; where ids are repeated classes may share their class id. Columns of the result replace those
+of the input; repeated rows each get their row.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Workspace, map_texts
-from .text import blocks, complete, grams, mix, utf8, words
+from .text import blocks, complete, grams, mix, order_hashes, utf8, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -47,12 +52,7 @@ def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     g = grams(w.hashes, SHINGLE)
     ok = complete(w.first, SHINGLE)
     h, t = g[ok], text[: len(g)][ok]
-    place = (np.arange(len(w.hashes)) - w.first[text]).astype(np.uint64)
-    sums = []
-    for salt in (1, 2):
-        total = np.zeros(len(w.hashes) + 1, np.uint64)
-        np.cumsum(mix(w.hashes + place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)), out=total[1:])
-        sums.append(np.where(count > 0, total[w.first[1:]] - total[w.first[:-1]] + np.uint64(1), np.uint64(0)))
+    sums = order_hashes(w)
     short = np.flatnonzero((count > 0) & (count < SHINGLE))
     if len(short):
         h, t = np.concatenate([h, mix(sums[0][short])]), np.concatenate([t, short])
@@ -123,10 +123,13 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / sums).sum())
 
 
-#: Rounds of comparing each text of an open bucket with one text of it, each time another, before the blocks.
-ROUNDS = 3
-#: Members of a bucket that one task compares with each other, or with as many others.
+#: Rounds of comparing each text of an open bucket with one leader, before the blocks.
+ROUNDS = 4
+#: Members of a bucket, and bytes of their texts, that one task compares with each other or with as many others.
 BLOCK = 512
+BLOCK_BYTES = 8_000_000
+#: Members of a bucket that go to one task of a join.
+SPREAD = 5_000
 
 
 def _agreement(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -140,7 +143,7 @@ def _agreement(pairs: DataFrame, signed: DataFrame) -> DataFrame:
             keep = (p == q).mean(1) >= PRESELECT
             yield pa.RecordBatch.from_arrays([x.column(n).filter(pa.array(keep)) for n in ("a", "b")], names=["a", "b"])
 
-    both = pairs.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("p")), "a").join(signed.select(F.col("id").alias("b"), F.col("sig").alias("q")), "b")
+    both = pairs.join(signed.select(F.col("node").alias("a"), F.col("sig").alias("p")), "a").join(signed.select(F.col("node").alias("b"), F.col("sig").alias("q")), "b")
     return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
@@ -156,6 +159,7 @@ def _split(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose exact similarity reaches SIMILARITY."""
+
     def run(batches):
         for whole in batches:
             for x in blocks(whole, "p", 1_000_000):
@@ -163,17 +167,17 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep = np.array([probability_jaccard(p, q) >= SIMILARITY - 1e-9 for p, q in zip(left, right, strict=True)], bool)
                 yield pa.RecordBatch.from_arrays([x.column(n).filter(pa.array(keep)) for n in ("a", "b")], names=["a", "b"])
 
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("q")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("p")), "a")
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("q")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("p")), "a")
     return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
 def components(space: Workspace, edges: DataFrame, name: str) -> DataFrame:
-    """(id, comp) of all ids on an edge (a, b); comp is the smallest id that can be reached. Tables are named after `name`."""
-    ids = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    labels = space.write(f"{name}_0", ids.withColumn("comp", F.col("id")))
+    """(node, comp) of all nodes on an edge (a, b); comp is the smallest that can be reached. Tables are named after `name`."""
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    labels = space.write(f"{name}_0", nodes.withColumn("comp", F.col("node")))
     turn = 0
     while True:
-        ends = edges.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("u")), "a").join(labels.select(F.col("id").alias("b"), F.col("comp").alias("v")), "b")
+        ends = edges.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("u")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("v")), "b")
         apart = space.write(f"{name}_apart", ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         if apart.isEmpty():
             space.drop(f"{name}_apart")
@@ -181,41 +185,63 @@ def components(space: Workspace, edges: DataFrame, name: str) -> DataFrame:
         up = apart.groupBy("u").agg(F.min("v").alias("v"))
         up2 = up.join(up.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left").select(F.col("u").alias("comp"), F.coalesce("w", "v").alias("better"))
         turn += 1
-        labels = space.write(f"{name}_{turn}", labels.join(up2, "comp", "left").select("id", F.coalesce("better", "comp").alias("comp")))
+        labels = space.write(f"{name}_{turn}", labels.join(up2, "comp", "left").select("node", F.coalesce("better", "comp").alias("comp")))
         space.drop(f"{name}_apart", f"{name}_{turn - 1}")
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (bucket, id, comp) of buckets with texts of more than one class."""
-    known = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    return known.join(mixed, "bucket", "left_semi")
+def _met(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Members (bucket, node, n, size) of buckets with texts of several classes, with the leader of another class that each meets, and the bucket's present members and bytes."""
+    known = members.join(labels, "node", "left").select("bucket", "node", "n", "size", F.coalesce("comp", "node").alias("comp"))
+    order = F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), "comp", F.xxhash64("node", F.lit(turn)).alias("g"), "node")
+    mixed = known.groupBy("bucket").agg(F.min(order).alias("low"), F.max(order).alias("high"), F.max("n").alias("n"), F.count("*").alias("now"), F.sum("size").alias("bytes")).where("low.comp <> high.comp")
+    spread = mixed.select("bucket", "low", "high", "now", "bytes", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SPREAD).cast("int"))).alias("salt"))
+    salted = known.withColumn("salt", F.pmod(F.xxhash64("node"), F.floor((F.col("n") - 1) / SPREAD) + 1).cast("int"))
+    leader = F.when(F.col("comp") != F.col("low.comp"), F.col("low")).otherwise(F.col("high"))
+    return salted.join(spread, ["bucket", "salt"]).select("bucket", "node", "n", "size", "comp", "now", "bytes", leader["g"].alias("g"), leader["node"].alias("leader"))
 
 
-def _links_in_block(table: pa.Table) -> pa.Table:
-    """Links between texts of different classes in one block of one bucket's pairs; each pair is looked at in the first bucket it shares."""
+_BLOCK = ["bucket", "low", "high", "part", "node", "comp"]
+
+
+def _agreeing(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A block of one bucket's texts, and the places of its pairs (i, j) of different classes whose registers agree; each pair is looked at in the first bucket it shares."""
     table = table.combine_chunks()
-    ids, comp, part = (table[n].to_numpy() for n in ("id", "comp", "part"))
+    nodes, comp, part = (table[n].to_numpy() for n in ("node", "comp", "part"))
     low, high, bucket = (table[n][0].as_py() for n in ("low", "high", "bucket"))
-    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
-    own = table["buckets"].combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(nodes), REGISTERS)
+    own = table["buckets"].combine_chunks().flatten().to_numpy().reshape(len(nodes), BANDS)
+    rights = np.flatnonzero(part == high)
+    lefts: list[np.ndarray] = []
+    found: list[np.ndarray] = []
+    for i in np.flatnonzero(part == low).tolist():
+        js = rights[((nodes[rights] > nodes[i]) | (low != high)) & (comp[rights] != comp[i])]
+        js = js[own[i][(own[js] == own[i]).argmax(1)] == bucket]
+        js = js[(sig[js] == sig[i]).mean(1) >= PRESELECT]
+        lefts.append(np.full(len(js), i))
+        found.append(js)
+    none = [np.empty(0, np.int64)]
+    return table, np.concatenate(lefts + none), np.concatenate(found + none)
+
+
+def _some_agree(table: pa.Table) -> pa.Table:
+    """The texts of a block that agree with any other of it."""
+    table, i, j = _agreeing(table)
+    return table.select(_BLOCK).take(pa.array(np.unique(np.concatenate([i, j]))))
+
+
+def _links_in_block(table: pa.Table) -> pa.Table:
+    """Links between the texts of a block."""
+    table, left, right = _agreeing(table)
+    nodes = table["node"].to_numpy()
     bag = [x for whole in table.select(["text"]).to_batches() for y in blocks(whole, "text", 1_000_000) for x in _split(y.column(0))]
     at = np.append(0, np.cumsum([len(h) for h, _ in bag]))
     kinds, code = np.unique(np.concatenate([h for h, _ in bag]), return_inverse=True)
     size = np.diff(at)
     plain = np.array([w.max(initial=1) == 1 for _, w in bag])
     mark = np.zeros(len(kinds), np.int8)
-    rights = np.flatnonzero(part == high)
     out: list[tuple[int, int]] = []
-    for i in np.flatnonzero(part == low).tolist():
-        js = rights[(ids[rights] > ids[i]) | (low != high)]
-        js = js[comp[js] != comp[i]]
-        if not len(js):
-            continue
-        js = js[own[i][(own[js] == own[i]).argmax(1)] == bucket]
-        js = js[(sig[js] == sig[i]).mean(1) >= PRESELECT]
-        if not len(js):
-            continue
+    for i in np.unique(left).tolist():
+        js = right[left == i]
         mark[code[at[i] : at[i + 1]]] = 1
         common = np.add.reduceat(mark[np.concatenate([code[at[j] : at[j + 1]] for j in js])], np.append(0, np.cumsum(size[js])[:-1]), dtype=np.int64)
         mark[code[at[i] : at[i + 1]]] = 0
@@ -224,70 +250,80 @@ def _links_in_block(table: pa.Table) -> pa.Table:
             if not (plain[i] and plain[j]):
                 same = probability_jaccard(bag[i], bag[j])
             if same >= SIMILARITY - 1e-9:
-                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def _blocked(open_members: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between texts of different classes that share a bucket, found in blocks of a bucket's members; only links become rows."""
-    sizes = open_members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = open_members.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).join(signed, "id").join(texts, "id")
-    columns = ["bucket", "low", "high", "part", "id", "comp", "sig", "buckets", "text"]
-    return dealt.select(*columns).groupBy("bucket", "low", "high").applyInArrow(_links_in_block, "a long, b long").distinct()
+def _blocked(met: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between texts of different classes that share a bucket, found in blocks of a bucket's members."""
+    parts = F.greatest(F.ceil(F.col("now") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    kinds = "bucket long, low int, high int, part int, node long, comp long"
+    some = dealt.select(*_BLOCK).join(signed, "node").select(*_BLOCK, "sig", "buckets").groupBy("bucket", "low", "high").applyInArrow(_some_agree, kinds)
+    whole = some.join(signed, "node").join(texts, "node").select(*_BLOCK, "sig", "buckets", "text")
+    return whole.groupBy("bucket", "low", "high").applyInArrow(_links_in_block, "a long, b long").distinct()
 
 
-def near_duplicate_classes(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id): one row for each row of texts."""
-    spark = texts.sparkSession
-    space = Workspace(spark, "near")
+def _classed(base: DataFrame, space: Workspace) -> DataFrame:
+    """(row, comp) of base (row, text): the class of each row, named by one of its rows."""
     fields = [("k1", "bigint", pa.int64()), ("k2", "bigint", pa.int64()), ("sig", "binary", pa.binary()), ("buckets", "array<bigint>", pa.list_(pa.int64()))]
-    rows = texts.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = space.write("signed", map_texts(rows, "text", fields, _sign, 1_000_000, ("text",)))
+    sized = base.select("row", "text", F.octet_length("text").alias("size"))
+    signed = space.write("signed", map_texts(sized, "text", fields, _sign, 1_000_000, ("text",)))
     some = signed.where("k1 <> 0")
-    copies = space.write("copies", some.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "first"))
-    others = some.where("id is not null").join(copies, ["k1", "k2"], "left").where("first is null or id = first").select("id", "sig", "buckets")
-    chosen = space.write("chosen", others)
-    bands = chosen.select("id", F.explode("buckets").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = space.write("members", bands.join(shared, "bucket").select("bucket", "id").distinct())
-    ids = members.select("id").distinct()
-    signatures_ = space.write("sigs", chosen.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    copies = space.write("copies", some.groupBy("k1", "k2").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "first"))
+    firsts = some.join(copies, ["k1", "k2"], "left").where("first is null or row = first").select(F.col("row").alias("node"), "size", "sig", "buckets")
+    chosen = space.write("chosen", firsts)
+    bands = chosen.select("node", "size", F.explode("buckets").alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
+    members = space.write("members", bands.join(shared, "bucket").select("bucket", "node", "n", "size", "leader"))
+    candidates = members.select("node").distinct()
+    sigs = space.write("sigs", chosen.join(candidates, "node", "left_semi").select("node", "sig", "buckets"))
     space.drop("chosen")
-    wanted = space.write("texts", rows.join(ids, "id", "left_semi").where("text is not null"))
-    wanted = wanted.dropDuplicates(["id"]) if wanted.count() != signatures_.count() else wanted
+    texts = space.write("texts", base.select(F.col("row").alias("node"), "text").join(candidates, "node", "left_semi"), "zstd")
 
-    edges, labels = None, None
-    open_members = members.withColumn("comp", F.col("id"))
+    pairs = members.groupBy("node").agg(F.min("leader").alias("leader")).where("leader < node")
+    edges, labels, met = None, None, None
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
-            pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("leader"), F.col("comp").alias("leader_comp")))
-            leaders = open_members.groupBy("bucket").agg(pick.alias("l")).select("bucket", "l.leader", "l.leader_comp")
-            pairs = open_members.join(leaders, "bucket").where("comp <> leader_comp").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-            found = _links(_agreement(pairs, signatures_), wanted)
+            ordered = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+            found = space.write(f"links_{turn}", _links(_agreement(ordered, sigs), texts))
         else:
-            found = _blocked(open_members, signatures_, wanted)
-        found = space.write(f"links_{turn}", found)
+            found = space.write(f"links_{turn}", _blocked(met, sigs, texts))
         edges = found if edges is None else edges.union(found)
         if labels is None or not found.isEmpty():
             labels = components(space, edges, f"labels_{turn}")
         if turn < ROUNDS:
-            open_members = space.write(f"open_{turn}", _open(members, labels))
-            if open_members.isEmpty():
+            met = space.write(f"met_{turn}", _met((members if met is None else met).select("bucket", "node", "n", "size"), labels, turn))
+            if met.isEmpty():
                 break
+            pairs = met.groupBy("node").agg(F.min(F.struct("g", "leader")).alias("l")).select("node", "l.leader")
     space.drop("texts", "sigs", "members")
-    out = signed.select("id", "k1", "k2").join(copies, ["k1", "k2"], "left")
-    out = out.withColumn("id_first", F.coalesce("first", "id")).join(labels.select(F.col("id").alias("id_first"), "comp"), "id_first", "left")
-    return out.select(F.col("id").alias(key), F.coalesce("comp", "id_first").alias("class_id"))
+    out = signed.select("row", "k1", "k2").join(copies, ["k1", "k2"], "left").select("row", F.coalesce("first", "row").alias("node"))
+    return out.join(labels, "node", "left").select("row", F.coalesce("comp", "node").alias("comp"))
+
+
+def _numbered(texts: DataFrame, space: Workspace) -> DataFrame:
+    """texts with its columns as c0, c1 and so on, and each row's number."""
+    return space.write("base", texts.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(texts.columns)]), "zstd")
+
+
+def near_duplicate_classes(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id): one row for each row of texts."""
+    space = Workspace(texts.sparkSession, "near")
+    base = _numbered(texts.select(key, text), space)
+    classed = space.write("classed", _classed(base.select("row", F.col("c1").alias("text")), space).join(base.select("row", F.col("c0").alias("id")), "row"))
+    smallest = classed.groupBy("comp").agg(F.min("id").alias("class_id"))
+    return classed.join(smallest, "comp").select(F.col("id").alias(key), "class_id")
 
 
 def first_of_each_class(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of texts whose id is the class id of their class; of repeated rows with one id one stays. Rows without an id all stay."""
+    """One row of each class: that with the smallest id (any of several), rows without an id last."""
     space = Workspace(texts.sparkSession, "firsts")
-    classes = space.write("classes", near_duplicate_classes(texts, key, text))
-    firsts = classes.where(F.col(key) == F.col("class_id")).select(key)
-    kept = texts.join(firsts.distinct(), key, "left_semi")
-    if firsts.count() != firsts.distinct().count():
-        kept = kept.dropDuplicates([key])
-    return kept.select(*texts.columns).union(texts.where(F.col(key).isNull()))
+    names = texts.columns
+    base = _numbered(texts, space)
+    at = {c: f"c{k}" for k, c in enumerate(names)}
+    classed = _classed(base.select("row", F.col(at[text]).alias("text")), space).join(base.select("row", F.col(at[key]).alias("id")), "row")
+    first = classed.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("f")).select("f.row")
+    kept = space.write("first", first)
+    return base.join(kept, "row", "left_semi").select(*[F.col(at[c]).alias(c) for c in names])

@@ -61,6 +61,7 @@ def test_classes(docs, rows, nothing):
     assert len(got) == len(rows)
     expected = classes_by_hand([(r[0], r[1]) for r in rows])
     assert {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None} == expected
+    assert [r["class_id"] for r in got if r["doc_id"] is None] == [None]
     assert sum(n > 1 for n in collections.Counter(expected.values()).values()) >= 1
     assert near_dedup.near_duplicate_classes(nothing).count() == 0
 
@@ -73,6 +74,7 @@ def test_a_large_group_that_one_leader_cannot_join(spark, monkeypatch, block):
     rows += [(5, edited(rng, rows[9][1], 3)), (6, edited(rng, rows[8][1], 3)), (7, rows[3][1]), (7, rows[3][1])]
     monkeypatch.setattr(near_dedup, "ROUNDS", 1)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "SPREAD", block)
     got = near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows)
     assert {r["doc_id"]: r["class_id"] for r in got} == classes_by_hand(rows)
@@ -86,9 +88,20 @@ def test_one_of_each_class_stays(docs, rows):
 
 
 def test_rows_without_id_and_repeated_rows(spark):
-    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "m n o p q r"), (3, "m n o p q r"), (4, None), (5, None)]
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k l"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "m n o p q r"), (3, "m n o p q r"), (4, None), (5, None)]
     kept = near_dedup.first_of_each_class(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(kept.collect(), key=repr) == sorted([(None, "a b c d e f"), (None, "g h i j k l"), (1, "a b c d e f"), (3, "m n o p q r"), (4, None), (5, None)], key=repr)
+    assert sorted(kept.collect(), key=repr) == sorted([(None, "g h i j k l"), (1, "a b c d e f"), (3, "m n o p q r"), (4, None), (5, None)], key=repr)
+
+
+def test_texts_that_share_an_id_and_ids_of_text(spark):
+    rng = random.Random(4)
+    a, b = prose(rng, "en", 100), prose(rng, "de", 100)
+    rows = [("x", a), ("x", b), ("y", a), ("z", edited(rng, b, 1)), (None, edited(rng, a, 1)), ("w", ""), ("w", None)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id string, text string, class_id long")
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.first_of_each_class(df).where("text <> ''").collect()) == sorted([("x", a), ("x", b)])
+    assert near_dedup.first_of_each_class(df).count() == 4
+    got = collections.Counter(map(tuple, near_dedup.near_duplicate_classes(df).collect()))
+    assert got == collections.Counter([("x", "x"), ("x", "x"), ("y", "x"), ("z", "x"), (None, "x"), ("w", "w"), ("w", "w")])
 
 
 def removed_by_hand(rows):
