@@ -91,21 +91,43 @@ def _render(a) -> int:
 
 
 def _logs(a) -> int:
+    """All files are parsed in one job; each file's outputs are written by jobs that run side by side."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.sql import functions as F
+
     from .operators import podlogs
+    from .sources.scratch import new_folder
 
     spark = _session("quern logs")
-    sources = podlogs.find_sources(spark, a.sources).persist()
-    for r in sources.where("not kept").collect():
+    sources = podlogs.without_collisions(podlogs.find_sources(spark, a.sources)).collect()
+    for r in podlogs.find_sources(spark, a.sources).where("not kept").collect():
         print(f"skipped {r['path']}: {r['reason']}")
-    kept = podlogs.without_collisions(sources).collect()
-    for r in kept:
+    for r in sources:
         if not r["first"]:
             print(f"skipped {r['path']}: its output would replace another's")
-            continue
-        rows = podlogs.structure(podlogs.read_lines(spark, [r["path"]])).persist()
-        podlogs.write(rows, f"{a.out}/{r['stem']}.parsed.jsonl", f"{a.out}/{r['stem']}.parsed.csv")
-        print(r["path"], *podlogs.summary(podlogs.tallies(rows, by_file=False).collect()), sep="\n")
-        rows.unpersist()
+    kept = {r["path"]: r["stem"] for r in sources if r["first"]}
+    if not kept:
+        return 1
+    folder = new_folder(spark, "logs")
+    podlogs.structure(podlogs.read_lines(spark, list(kept))).write.partitionBy("file").parquet(folder)
+    rows = spark.read.schema(podlogs.ROW).parquet(folder)
+
+    def write(path: str) -> None:
+        podlogs.write(rows.where(F.col("file") == path), f"{a.out}/{kept[path]}.parsed.jsonl", f"{a.out}/{kept[path]}.parsed.csv")
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(write, kept))
+    by_file: dict[str, list] = {path: [] for path in kept}
+    for r in podlogs.shown_tallies(podlogs.tallies(rows)).collect():
+        by_file[r["file"]].append(r)
+    for path, counted in by_file.items():
+        if len(kept) == 1:
+            print(path, *podlogs.summary(counted), sep="\n")
+        else:
+            print(podlogs.one_line(path, counted))
+    if len(kept) > 1:
+        print(f"all {len(kept)} files", *podlogs.summary(podlogs.shown_tallies(podlogs.tallies(rows, by_file=False), by_file=False).collect()), sep="\n")
     return 0
 
 

@@ -8,138 +8,20 @@ as, numbers too, and the order they came in, so records are maps until a sink as
 from __future__ import annotations
 
 import json
-import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Line forms and the keys in which structured lines hold their time, level and message.
-COPIED_NUMBER = r"^[ \t]*\d+(?:\t|:| +)(?=\{)"
-LOGGING = re.compile(r"(\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?)\s+-\s+([A-Za-z]+)\s+-\s+(.*)", re.DOTALL)
-CONTEXT = re.compile(r"\s+-\s+(?=\{)")
-PAIR = re.compile(r'([A-Za-z_][\w.\-]*)=("(?:[^"\\]|\\.)*"|\S*)')
-ALIASES = (("log.time", ("time", "timestamp", "ts", "@timestamp")), ("log.level", ("level", "severity", "lvl")), ("log.message", ("msg", "message", "event")))
+from ..functions import logline
+
 UNFINISHED = "partial-unfinished: a fragment with no final record after it; kept as found"
 OUTPUTS = (".parsed.jsonl", ".parsed.csv")
 
-PARSED = "fields map<string,string>, log string, part string, has_part boolean, source string, problem string"
-_PARSED = pa.schema([("fields", pa.map_(pa.string(), pa.string())), ("log", pa.string()), ("part", pa.string()), ("has_part", pa.bool_()), ("source", pa.string()), ("problem", pa.string())])
-ROW = "fields map<string,string>, shape string, problems array<string>"
-_ROW = pa.schema([("fields", pa.map_(pa.string(), pa.string())), ("shape", pa.string()), ("problems", pa.list_(pa.string()))])
-
-
-def cell(value) -> str:
-    """A JSON value as text; nested values compact, numbers as they were written."""
-    match value:
-        case None:
-            return ""
-        case bool():
-            return str(value).lower()
-        case dict() | list():
-            return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-        case _:
-            return str(value)
-
-
-def _json(text: str):
-    return json.loads(text, parse_int=str, parse_float=str)
-
-
-def _object(text: str) -> dict | None:
-    try:
-        value = _json(text)
-    except ValueError:
-        return None
-    return value if isinstance(value, dict) else None
-
-
-def outer(text: str) -> dict:
-    """One record's line: its fields as text, and what reassembly needs."""
-    out = dict.fromkeys(_PARSED.names)
-    try:
-        value = _json(text)
-    except json.JSONDecodeError as bad:
-        return out | {"problem": f"not-json: {bad.msg} at character {bad.pos}"}
-    except RecursionError:
-        return out | {"problem": "not-json: nested too deeply"}
-    if not isinstance(value, dict):
-        return out | {"problem": "not-json: valid JSON, but not an object"}
-    origin = json.dumps([cell(value.get("filename") or value.get("pod")), cell(value.get("container")), cell(value.get("stream"))])
-    log = value.get("log")
-    return out | {"fields": [(k, cell(v)) for k, v in value.items()], "log": log if isinstance(log, str) else None, "part": cell(value.get("_p")), "has_part": "_p" in value, "source": origin}
-
-
-def pairs_of(message: str) -> dict[str, str]:
-    """log.<key> fields of a message in parts between bars; what is no pair is log.event."""
-    if not ("|" in message and "=" in message):
-        return {}
-    found: dict[str, str] = {}
-    rest = []
-    for part in filter(None, map(str.strip, message.split("|"))):
-        key, is_pair, value = part.partition("=")
-        key = key.strip()
-        if is_pair and key and not re.search(r"\s", key):
-            found.setdefault("log." + key, value.strip())
-        else:
-            rest.append(part)
-    return found | ({"log.event": " | ".join(rest)} if rest else {})
-
-
-def _named(values: dict) -> dict[str, str]:
-    """Time, level and message by the first of their keys that is there."""
-    found = {}
-    for name, keys in ALIASES:
-        here = next((k for k in keys if k in values), None)
-        if here is not None and values[here] is not None:
-            found[name] = cell(values[here])
-    return found
-
-
-def inner(line: str) -> tuple[dict[str, str], dict, str]:
-    """The application's line: log.* fields, the context it carries, and its shape."""
-    line = line.strip()
-    if m := LOGGING.fullmatch(line):
-        time, level, rest = m.groups()
-        context: dict = {}
-        message = rest.strip()
-        for start in CONTEXT.finditer(rest):
-            if (value := _object(rest[start.end() :])) is not None:
-                message, context = rest[: start.start()].strip(), value
-                break
-        return {"log.time": time, "log.level": level, "log.message": message} | pairs_of(message), context, "logging"
-    if line.startswith("{") and (value := _object(line)) is not None:
-        return _named(value), value, "json"
-    pairs = PAIR.findall(line)
-    if len(pairs) > 1 and 5 * len(PAIR.sub("", line).strip()) <= len(line):
-        values = {}
-        for key, value in pairs:
-            if len(value) > 1 and value[0] == value[-1] == '"':
-                try:
-                    value = json.loads(value)
-                except ValueError:
-                    value = value[1:-1]
-            values[key] = value
-        return {f"log.{k}": v for k, v in values.items()} | _named(values), {}, "logfmt"
-    return {"log.message": line}, {}, "text"
-
-
-def flat(fields: list | None, log: str | None) -> tuple[dict[str, str], str, list[str]]:
-    """A record's row, its line's shape, and conflicts between the record and its line."""
-    if fields is None:
-        return {}, "", []
-    row, problems = dict(fields), []
-    if log is None:
-        return row, "", problems
-    found, context, shape = inner(log)
-    row |= {k: v for k, v in found.items() if k not in row}
-    for key, value in context.items():
-        value = cell(value)
-        if row.setdefault(key, value) != value:
-            row[f"context.{key}"] = value
-            problems.append(f"conflict: {key} is {row[key]!r} outside the log line and {value!r} inside it")
-    return row, shape, problems
+ROW = "file string, line long, place long, late boolean, partials int, fields map<string,string>, shape string, problems array<string>"
+PIECE = "file string, line long, text string, fields map<string,string>, log string, part string, source string"
+_ROW = ("file", "line", "place", "late", "partials", "fields", "shape", "problems")
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -147,69 +29,112 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     from ..sources.lines import read_lines as numbered
 
     rows = numbered(spark, paths).where(F.col("text").rlike(r"(?U)\S"))
-    return rows.withColumn("text", F.regexp_replace("text", COPIED_NUMBER, ""))
-
-
-def _arrow(kind: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in kind], schema=kind)
-
-
-def parse(lines: DataFrame) -> DataFrame:
-    """(file, line, text) with the record's fields, log, part, has_part, source and problem."""
-
-    def run(batches):
-        for b in batches:
-            made = _arrow(_PARSED, [outer(t) for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("file", "line", "text")), *made.columns], names=["file", "line", "text", *_PARSED.names])
-
-    return lines.select("file", "line", "text").mapInArrow(run, f"file string, line long, text string, {PARSED}")
-
-
-def join_fragments(parsed: DataFrame) -> DataFrame:
-    """Parsed records with fragments joined: line is the first fragment's, place orders the output, partials counts fragments; a fragment nothing ends stays, last."""
-    whole = parsed.where("has_part is null or not has_part").withColumns({"place": F.col("line"), "late": F.lit(False), "partials": F.lit(0), "extra": F.lit(None).cast("string")})
-    pieces = parsed.where("has_part")
+    return rows.withColumn("text", without_number(F.col("text")))
+
+
+def without_number(text: Column) -> Column:
+    """A record's line without a line number and its mark (a colon, a tab, blanks) before the first brace."""
+    before = F.substring_index(text, "{", 1)
+    return F.when(F.contains(text, F.lit("{")) & before.rlike(r"^[ \t]*[0-9]+(:|\t| +)$"), F.substr(text, F.length(before) + 1)).otherwise(text)
+
+
+def _maps(rows: list[dict[str, str]]) -> pa.MapArray:
+    offsets, keys, values = [0], [], []
+    for row in rows:
+        keys += row
+        values += row.values()
+        offsets.append(len(keys))
+    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+
+
+def _written(record: dict) -> dict[str, str]:
+    return {k: logline.written(v) for k, v in record.items()}
+
+
+def _finished(record: dict[str, str] | None, log: str | None, text: str, line: int, partials: int, problems: list[str]) -> tuple[dict[str, str], str, list[str]]:
+    """The row of a record or, where there is none, of a bad line; what the parser has to say comes last."""
+    row, shape, told = ({"parse.raw": text}, "", []) if record is None else logline.row_of(record, log)
+    problems = problems + told
+    return {**row, "parse.line": str(line), "parse.log_shape": shape, "parse.partials_joined": str(partials), "parse.problems": "; ".join(problems)}, shape, problems
+
+
+def _whole_rows(batches):
+    """Lines that are no fragments, to rows."""
+    for b in batches:
+        kept, fields, shapes, told = [], [], [], []
+        for k, (text, line) in enumerate(zip(b.column("text").to_pylist(), b.column("line").to_pylist(), strict=True)):
+            record, problem = logline.record_of(text)
+            if record is not None and "_p" in record:
+                continue
+            log = record.get("log") if record is not None else None
+            row, shape, problems = _finished(None if record is None else _written(record), log if isinstance(log, str) else None, text, line, 0, [problem] if problem else [])
+            kept.append(k)
+            fields.append(row)
+            shapes.append(shape)
+            told.append(problems)
+        some = b.take(pa.array(kept, pa.int64()))
+        n = some.num_rows
+        columns = [some.column("file"), some.column("line"), some.column("line"), pa.array([False] * n, pa.bool_()), pa.array([0] * n, pa.int32()), _maps(fields), pa.array(shapes, pa.string()), pa.array(told, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, names=list(_ROW))
+
+
+def _pieces(batches):
+    """Fragments among lines, with what brings them together."""
+    for b in batches:
+        kept, fields, more = [], [], []
+        for k, text in enumerate(b.column("text").to_pylist()):
+            record, _ = logline.record_of(text)
+            if record is not None and "_p" in record:
+                kept.append(k)
+                fields.append(_written(record))
+                log = record.get("log")
+                origin = [logline.written(v) for v in (record.get("filename") or record.get("pod"), record.get("container"), record.get("stream"))]
+                more.append((log if isinstance(log, str) else None, fields[-1]["_p"], json.dumps(origin)))
+        some = b.take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(some.column(n) for n in ("file", "line", "text")), _maps(fields), *(pa.array([m[j] for m in more], pa.string()) for j in range(3))], names=["file", "line", "text", "fields", "log", "part", "source"])
+
+
+def pieces(lines: DataFrame) -> DataFrame:
+    """The fragments among lines (file, line, text); lines that cannot be fragments are left to Spark's own filter."""
+    likely = F.contains("text", F.lit('_p"')) | F.contains("text", F.lit("\\u"))
+    return lines.where(likely).select("file", "line", "text").mapInArrow(_pieces, PIECE)
+
+
+def join_fragments(found: DataFrame) -> DataFrame:
+    """Fragments joined: line is the first one's, place orders the output, partials counts fragments; a fragment nothing ends stays, last."""
     ends = (F.col("part") != "P").cast("int")
     order = Window.partitionBy("file", "source").orderBy("line")
-    pieces = pieces.withColumn("turn", F.coalesce(F.sum(ends).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    turn = Window.partitionBy("file", "source", "turn").orderBy("line")
-    all_of = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pieces = pieces.withColumns({
-        "ended": F.max(ends).over(all_of) == 1, "partials": (F.count("*").over(all_of) - 1).cast("int"), "from": F.min("line").over(all_of),
+    turned = found.withColumn("turn", F.coalesce(F.sum(ends).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    all_of = Window.partitionBy("file", "source", "turn").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    turned = turned.withColumns({
+        "ended": F.max(ends).over(all_of) == 1, "size": F.count("*").over(all_of), "from": F.min("line").over(all_of),
         "joined": F.array_join(F.collect_list(F.coalesce(F.element_at("fields", "log"), F.lit(""))).over(all_of), ""),
     })
-    closing = pieces.where("ended and part <> 'P'")
-    split = F.col("partials") > 0
-    fields = F.when(split, F.map_concat(F.map_filter("fields", lambda k, v: k != "log"), F.create_map(F.lit("log"), F.col("joined")))).otherwise(F.col("fields"))
-    in_order = F.when(split & F.map_contains_key("fields", "log"), F.transform_values("fields", lambda k, v: F.when(k == "log", F.col("joined")).otherwise(v))).otherwise(fields)
-    log = F.when(split, F.col("joined")).otherwise(F.col("log"))
-    columns = ["file", "line", "text", "fields", "log", "problem", "place", "late", "partials", "extra"]
-    closing = closing.withColumns({"place": F.col("line"), "fields": in_order, "log": log}).withColumns({"line": F.col("from"), "late": F.lit(False), "extra": F.lit(None).cast("string")})
-    open_ = pieces.where("not ended").withColumns({"place": F.col("line"), "late": F.lit(True), "partials": F.lit(0), "extra": F.lit(UNFINISHED)})
-    return whole.select(*columns).unionByName(closing.select(*columns)).unionByName(open_.select(*columns))
-
-
-def rows(records: DataFrame) -> DataFrame:
-    """(file, place, late, line, fields, shape, problems, partials): fields in order, those of parse.* last."""
-
-    def run(batches):
-        names = ["file", "line", "place", "late", "partials"]
-        for b in batches:
-            made = []
-            for text, fields, log, problem, extra, line, partials in zip(*(b.column(n).to_pylist() for n in ("text", "fields", "log", "problem", "extra", "line", "partials")), strict=True):
-                row, shape, conflicts = flat(fields, log)
-                problems = [p for p in (problem, extra) if p] + conflicts
-                own = {"parse.raw": text} if fields is None else row
-                own |= {"parse.line": str(line), "parse.log_shape": shape, "parse.partials_joined": str(partials), "parse.problems": "; ".join(problems)}
-                made.append({"fields": list(own.items()), "shape": shape, "problems": problems})
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *_arrow(_ROW, made).columns], names=[*names, *_ROW.names])
-
-    return records.mapInArrow(run, f"file string, line long, place long, late boolean, partials int, {ROW}")
+    several = F.col("ended") & (F.col("size") > 1)
+    with_log = F.map_contains_key("fields", "log")
+    own = F.when(with_log, F.transform_values("fields", lambda k, v: F.when(k == "log", F.col("joined")).otherwise(v))).otherwise(F.map_concat("fields", F.create_map(F.lit("log"), F.col("joined"))))
+    return turned.where("not ended or part <> 'P'").select(
+        "file", F.when(F.col("ended"), F.col("from")).otherwise(F.col("line")).alias("line"), "text", F.when(several, own).otherwise(F.col("fields")).alias("fields"),
+        F.when(several, F.col("joined")).otherwise(F.col("log")).alias("log"), F.col("line").alias("place"), (~F.col("ended")).alias("late"),
+        F.when(several, F.col("size") - 1).otherwise(0).cast("int").alias("partials"), F.when(~F.col("ended"), F.lit(UNFINISHED)).alias("extra"),
+    )
+
+
+def _joined_rows(batches):
+    """Joined fragments to rows."""
+    for b in batches:
+        made = [
+            _finished(dict(fields), log, text, line, partials, [extra] if extra else [])
+            for text, fields, log, line, partials, extra in zip(*(b.column(n).to_pylist() for n in ("text", "fields", "log", "line", "partials", "extra")), strict=True)
+        ]
+        columns = [*(b.column(n) for n in _ROW[:5]), _maps([m[0] for m in made]), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, names=list(_ROW))
 
 
 def structure(lines: DataFrame) -> DataFrame:
-    """Lines to rows: parse, join fragments, flatten."""
-    return rows(join_fragments(parse(lines)))
+    """Lines (file, line, text) to rows (file, line, place, late, partials, fields, shape, problems): fields in order, those of parse.* last. A line is parsed once; only fragments meet others."""
+    whole = lines.select("file", "line", "text").mapInArrow(_whole_rows, ROW)
+    return whole.unionByName(join_fragments(pieces(lines)).mapInArrow(_joined_rows, ROW))
 
 
 def key_order(row_maps: DataFrame, fields: str = "fields") -> DataFrame:
@@ -250,34 +175,53 @@ def tallies(row_maps: DataFrame, by_file: bool = True) -> DataFrame:
     return exploded.groupBy(*keys, "facet", "name").agg(F.sum("n").alias("n"), F.min(F.struct("file", "late", "place")).alias("first"))
 
 
-def summary(counted: list, shown: dict[str, int] | None = None) -> list[str]:
-    """Lines for people from the collected tallies of one file, or of all."""
-    shown = shown or {"sources": 6, "events": 8}
+#: Names of a facet that a summary shows; of the others all.
+SHOWN = {"sources": 6, "events": 8}
+
+
+def shown_tallies(counted: DataFrame, by_file: bool = True) -> DataFrame:
+    """The tallies that a summary shows: of each facet the commonest names, ties by first appearance, with `kinds`, how many there are."""
+    keys = ["file", "facet"] if by_file else ["facet"]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "first"))
+    most = F.coalesce(*[F.when(F.col("facet") == facet, n) for facet, n in SHOWN.items()], F.lit(1_000))
+    kinds = F.count("*").over(Window.partitionBy(*keys))
+    return counted.withColumns({"rank": rank, "kinds": kinds}).where(F.col("rank") <= most)
+
+
+def summary(counted: list) -> list[str]:
+    """Lines for people from the collected shown_tallies of one file, or of all."""
     facets: dict[str, list] = {}
-    for r in sorted(counted, key=lambda r: (-r["n"], r["first"])):
-        facets.setdefault(r["facet"], []).append((r["name"] or "(none)", r["n"]))
+    for r in sorted(counted, key=lambda r: r["rank"]):
+        facets.setdefault(r["facet"], []).append(r)
 
     def line(facet):
         have = facets.get(facet, [])
-        some = have[: shown.get(facet)]
-        more = f", and {len(have) - len(some)} more" if len(have) > len(some) else ""
-        return ", ".join(f"{name} {n}" for name, n in some) + more or "none"
+        more = have[0]["kinds"] - len(have) if have else 0
+        return ", ".join([*(f"{r['name'] or '(none)'} {r['n']}" for r in have), *([f"and {more} more"] if more else [])]) or "none"
 
-    fields = sorted(facets.get("fields", []), key=lambda x: (-x[1], x[0]))
-    out = [f"  records              {sum(n for _, n in facets.get('records', []))}"]
-    if partials := sum(n for _, n in facets.get("partials", [])):
+    fields = sorted(facets.get("fields", []), key=lambda r: (-r["n"], r["name"]))
+    out = [f"  records              {sum(r['n'] for r in facets.get('records', []))}"]
+    if partials := sum(r["n"] for r in facets.get("partials", [])):
         out.append(f"  fragments joined     {partials}")
     labels = (("shapes", "log line shapes"), ("levels", "levels"), ("sources", "sources"), ("events", "commonest events"), ("problems", "problems"))
     out += [f"  {label:<19}  {line(facet)}" for facet, label in labels if facet in facets or facet in ("shapes", "sources", "problems")]
-    return [*out, f"  fields               {len(fields)}", *(f"      {n:>8}  {name}" for name, n in fields)]
+    return [*out, f"  fields               {fields[0]['kinds'] if fields else 0}", *(f"      {r['n']:>8}  {r['name']}" for r in fields)]
+
+
+def one_line(path: str, counted: list) -> str:
+    """A file's summary in a line."""
+    of = lambda facet: sum(r["n"] for r in counted if r["facet"] == facet)
+    return f"{path}: {of('records')} records, {of('partials')} fragments joined, {of('problems')} problems"
 
 
 def find_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, kept, reason): files named are taken; of directories the files directly inside whose first line is a record, not hidden ones nor our own output."""
+    """(path, kept, reason): files named are taken; of directories the files directly inside whose first line is a record, not hidden ones nor our own output. One job looks into all files."""
     from ..sources.files import listing
+    from ..sources.lines import first_lines
 
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     out: list[tuple[str, bool, str | None]] = []
+    inside: list[str] = []
     for p in paths:
         where = jvm.org.apache.hadoop.fs.Path(p)
         system = where.getFileSystem(conf)
@@ -286,13 +230,13 @@ def find_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
         elif system.getFileStatus(where).isFile():
             out.append((p, True, None))
         else:
-            for r in listing(spark, p).collect():
-                if r["name"].startswith(".") or r["name"].endswith(OUTPUTS):
-                    continue
-                first = spark.read.text(r["path"]).where(F.col("value").rlike(r"(?U)\S")).limit(1).collect()
-                ok = bool(first) and re.sub(COPIED_NUMBER, "", first[0]["value"].strip()).startswith("{")
-                out.append((r["path"], ok, None if ok else "its first line is not a JSON record"))
-    return spark.createDataFrame(out, "path string, kept boolean, reason string")
+            inside += [r["path"] for r in listing(spark, p).collect() if not (r["name"].startswith(".") or r["name"].endswith(OUTPUTS))]
+    named = spark.createDataFrame(out, "path string, kept boolean, reason string")
+    if not inside:
+        return named
+    record = F.startswith(F.ltrim(without_number(F.col("text"))), F.lit("{"))
+    seen = first_lines(spark, inside).select(F.col("file").alias("path"), F.coalesce(record, F.lit(False)).alias("kept"))
+    return seen.withColumn("reason", F.when(~F.col("kept"), "its first line is not a JSON record")).unionByName(named)
 
 
 def without_collisions(sources: DataFrame) -> DataFrame:

@@ -268,7 +268,8 @@ CONTEXT_SQL = """SELECT event_id AS line, CAST(user_id AS VARCHAR) AS user, 'p0'
 def json_props_flatten(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     lines = events.select(F.lit("e").alias("file"), F.col("event_id").alias("line"), F.col("props").alias("text"))
-    return podlogs.parse(lines).select(F.col("line").alias("event_id"), F.coalesce(F.element_at("fields", F.lit("k")), F.lit("")).alias("k"), F.coalesce("problem", F.lit("")).alias("problem"))
+    f = lambda k: F.coalesce(F.element_at("fields", F.lit(k)), F.lit(""))
+    return podlogs.structure(lines).select(F.col("line").alias("event_id"), f("k").alias("k"), f("parse.problems").alias("problem"))
 
 
 PROPS_SQL = "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, '' AS problem FROM events"
@@ -291,7 +292,7 @@ def _fragments(spark, sf_dir) -> DataFrame:
 
 
 def fragment_join(spark, sf_dir):
-    joined = podlogs.join_fragments(podlogs.parse(_fragments(spark, sf_dir)))
+    joined = podlogs.join_fragments(podlogs.pieces(_fragments(spark, sf_dir)))
     return joined.select("line", "log", F.col("partials").alias("partials"), F.col("late").alias("unfinished"))
 
 

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from quern.functions import logline
 from quern.operators import podlogs
 from quern.plans import manifest
 
@@ -18,8 +19,14 @@ def record(log, **more):
 
 
 def test_numbers_keep_their_text():
-    assert dict(podlogs.outer('{"a": 1.50, "b": 1e5, "c": 1786665594.023551, "d": null, "e": true, "f": {"x": [1, "ä"]}}')["fields"]) == {"a": "1.50", "b": "1e5", "c": "1786665594.023551", "d": "", "e": "true", "f": '{"x":["1","ä"]}'}
-    assert podlogs.outer("{this is not json")["problem"].startswith("not-json: ") and podlogs.outer("[1]")["problem"].endswith("not an object")
+    record, _ = logline.record_of('{"a": 1.50, "b": 1e5, "c": 1786665594.023551, "d": null, "e": true, "f": {"x": [1, "ä"]}}')
+    assert {k: logline.written(v) for k, v in record.items()} == {"a": "1.50", "b": "1e5", "c": "1786665594.023551", "d": "", "e": "true", "f": '{"x":["1","ä"]}'}
+    assert logline.record_of("{this is not json")[1].startswith("not-json: ") and logline.record_of("[1]")[1].endswith("not an object")
+
+
+def test_equations_are_found_from_their_signs():
+    assert logline.equations('9ab=1 é=2 x.y-z="a \\" b" q="open c==d') == ([("ab", "1"), ("x.y-z", '"a \\" b"'), ("q", '"open'), ("c", "=d")], len("9 é=2"))
+    assert logline.equations("no pairs = here =") == ([], len("no pairs = here ="))
 
 
 @pytest.mark.parametrize(
@@ -33,12 +40,12 @@ def test_numbers_keep_their_text():
     ],
 )
 def test_shapes(line, shape, fields):
-    found, _, got = podlogs.inner(line)
+    found, _, got = logline.shaped(line)
     assert got == shape and found.items() >= fields.items()
 
 
 def test_message_key_wins_over_line_time():
-    found, _, _ = podlogs.inner("2026-08-13 23:59:54 - INFO - called | time=9 | other=1")
+    found, _, _ = logline.shaped("2026-08-13 23:59:54 - INFO - called | time=9 | other=1")
     assert found["log.time"] == "9" and found["log.event"] == "called"
 
 
@@ -70,7 +77,7 @@ def test_files_sinks_and_tallies(spark, tmp_path):
     assert [r["c"] for r in wide.collect()] == ["", "é"]
     podlogs.write(rows, f"file://{tmp_path}/j", f"file://{tmp_path}/t")
     assert json.loads(spark.read.text(f"file://{tmp_path}/j").first()[0])["b"] == "1"
-    counted = podlogs.tallies(rows, by_file=False).collect()
+    counted = podlogs.shown_tallies(podlogs.tallies(rows, by_file=False), by_file=False).collect()
     assert {r["name"]: r["n"] for r in counted if r["facet"] == "sources"} == {"": 1, "n/k": 1}
     text = "\n".join(podlogs.summary(counted))
     assert "records              2" in text and "problems             none" in text and "(none) 1, n/k 1" in text
