@@ -88,7 +88,7 @@ def file_report(file: dict, columns: list[dict], concerns: list[dict] | None, sh
 def index(directory: str, outcomes: list[dict], others: list[dict], scope: str, now: datetime.datetime | None = None) -> str:
     """Every file of the directory, whatever became of it."""
     at = (now or datetime.datetime.now().astimezone()).isoformat(timespec="seconds")
-    out = ["# DIRECTORY DOCUMENTATION", "", f"Directory scanned: {directory}", f"Scanned at:        {at}", f"Read:              {scope}", "", f"# CSV files ({len(outcomes)})", ""]
+    out = ["# FILES OF A DIRECTORY", "", f"Directory: {directory}", f"Read at:   {at}", f"Extent:    {scope}", "", f"# CSV files ({len(outcomes)})", ""]
     for o in outcomes:
         out.append(f"  {o['name']}  ({size_text(o['size'])})")
         if o["status"] == "failed":

@@ -60,7 +60,7 @@ def test_directory(spark, folder, tmp_path):
     assert "never closed" in text and "COULD NOT READ: UnicodeDecodeError" in text
     assert text.count("check before sharing: username") == 4
     assert "empty in every row (1): blank" in text and "(1): constant" in text
-    made = {name: json.loads((out / "draft_croissants" / f"{name}.draft.json").read_text())["_draft_measurements"] for name in ("jobs", "packed", "packed2", "packed3")}
+    made = {name: {c["name"]: c for c in json.loads((out / "draft_croissants" / f"{name}.draft.json").read_text())[draft.COLUMNS]} for name in ("jobs", "packed", "packed2", "packed3")}
     assert made["jobs"] == made["packed"] == made["packed2"] == made["packed3"]
     assert made["jobs"]["exit_code"]["largest_number"] == 1.0
     assert "NOT consistent" in (out / "reports" / "jobs.txt").read_text()
@@ -99,10 +99,10 @@ COLUMN = {"column_name": "a", **dict.fromkeys(draft.MEASURED, 0), "most_common_v
 def test_draft_is_invalid_on_purpose():
     made = draft.build({"name": "j.csv", "path": "/x/j.csv", "stem": "j", "size": 3, "rows": 2, "scope": "full scan"}, [COLUMN], None)
     assert "DO-NOT-SUBMIT" in made["conformsTo"] and all("dataType" not in f for f in made["recordSet"][0]["field"])
-    assert json.dumps(made).count(draft.BANNER) >= 3 and "license" not in made and "largest_number" not in made["_draft_measurements"]["a"]
+    assert json.dumps(made).count(draft.NOTICE) >= 3 and "license" not in made and "largest_number" not in made[draft.COLUMNS][0]
     assert draft.outcome_of(made)["check_results_unknown"] and draft.outcome_of({})["rows"] is None
     text = markdown.render(made)
-    assert text == markdown.render(json.loads(json.dumps(made))) and text.startswith("# j\n") and draft.PLACEHOLDER in text and text.endswith("*\n")
+    assert text == markdown.render(json.loads(json.dumps(made))) and text.startswith("# j\n") and draft.OPEN in text and text.endswith("*\n")
 
 
 def test_markdown():
@@ -114,7 +114,7 @@ def test_markdown():
         ],
     }
     text = markdown.render(meta)
-    for part in ("- **Publisher:** lab", "**CC**", "See: u", "> me", "| `f` | Text | a \\| b c |", "| code | text |", "| 1 |  |", "- one\n- two", "Contains synthetic data: **No**", "### `bad`"):
+    for part in ("- **Publisher:** lab", "**CC**", "See: u", "> me", "| `f` | Text | a \\| b c |", "| code | text |", "| 1 |  |", "- one\n- two", "Synthetic data in it: **no**", "### `bad`"):
         assert part in text, part
     assert "\n\n\n" not in text
     with pytest.raises(ValueError, match="line 1"):
