@@ -4,14 +4,16 @@ Texts and items are spelt alike: letters and digits in lower case, everything be
 characters may differ from the text's region by an edit budget of floor(EDITS * m). If it does, the two share at least
 m - Q + 1 - Q * budget of the item's q-grams on diagonals that lie within the budget of each other; so q-gram hits are
 counted in overlapping bands of diagonals, twice the budget and more wide, and a band with that many hits is a region.
-Semi-global banded alignment of the item with the region then gives its edit distance, and with it the verdict.
-Budgets shrink where an item is so short that the lemma would ask for nothing; items of under Q characters must occur
-whole, between word borders.
+Semi-global alignment of the item with the region, over the diagonals that a hit of the band can be reached from within the
+budget and no others, then gives its edit distance, and with it the verdict. Budgets shrink where an item is so short that
+the lemma would ask for nothing; items of under Q characters must occur whole, between word borders.
 
 The benchmark is the stated query set: it is handed out in blocks of at most QUERY_CHARACTERS characters, each matched
-against all texts, so that neither its size nor a text's length has a limit. Texts are never joined with each other.
+against all texts, so that neither its size nor a text's length has a limit. Texts are never joined with each other. Long
+texts are spelt first and then looked at in pieces of PIECE characters that overlap by more than any item's region.
 
-Defined results: null texts, texts without letters or digits, and such items match nothing. Repeated items each match.
+Defined results: null texts, texts without letters or digits, and such items match nothing. Repeated items each match, and
+each row of texts by itself, whatever other rows have its id. Columns of texts may have any names.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_texts
 from .text import blocks, code_points, utf8
 
 Q = 10
 EDITS = 0.08
 QUERY_CHARACTERS = 4_000_000
 FILTER_BITS = 22
-#: Characters of text that are looked at together; a longer text goes in overlapping pieces.
+#: Bytes, or spelt characters, of text that are looked at together; a longer text goes in overlapping pieces.
 PIECE = 1_000_000
 #: Pairs of a q-gram hit and an item's place that are sorted at once; bands that go on are carried over.
 SLICE = 2_000_000
@@ -139,25 +142,27 @@ class Items:
         self.seen[self.gram >> np.uint32(32 - FILTER_BITS)] = True
 
 
-def alignment(item: np.ndarray, region: np.ndarray, budget: int) -> int:
-    """Edits that turn the item into the best part of the region, or budget + 1 if more: rows of the item, banded to the diagonals the region allows."""
-    n = len(region)
-    row = np.zeros(n + 1, np.int64)
-    steps = np.arange(n + 1)
-    for k, c in enumerate(item.tolist(), 1):
-        now = np.empty(n + 1, np.int64)
-        now[0] = k
-        now[1:] = np.minimum(row[:-1] + (region != c), row[1:] + 1)
-        row = np.minimum.accumulate(now - steps) + steps
-        if row.min() > budget:
+def alignment(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> int:
+    """Edits that turn the item into the best part of the text whose alignment stays on the diagonals low to high (place in the text less place in the item); budget + 1 if more."""
+    wide = high - low + 1
+    # before an item's k-th character, cell d is the text's character at k + low + d; beyond the text nothing is equal
+    padded = np.full(len(item) + wide, 0xFFFFFFFF, np.uint32)
+    begin, end = max(0, low), min(len(text), low + len(padded))
+    if end > begin:
+        padded[begin - low : end - low] = text[begin:end]
+    cost = np.zeros(wide + 1, np.int64)
+    cost[wide] = budget + 2  # a diagonal further than high
+    steps = np.arange(wide)
+    for k, c in enumerate(item.tolist()):
+        now = np.minimum(cost[:-1] + (padded[k : k + wide] != c), cost[1:] + 1)
+        cost[:-1] = np.minimum.accumulate(now - steps) + steps
+        if cost[:-1].min() > budget:
             return budget + 1
-    return int(row.min())
+    return int(cost[:-1].min())
 
 
-def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
-    """(text, item, edits) for the texts of a block; item is an index of items."""
-    points, first = code_points(data, offsets)
-    spelt, at = spell(points, first)
+def matches(spelt: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
+    """(text, item, edits) for spelt texts in a row and their offsets; item is an index of items."""
     best: dict[tuple[int, int], int] = {}
     g = qgrams(spelt)
     if len(items.gram) and len(g):
@@ -192,12 +197,11 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[i
             count = np.diff(np.append(head, len(keys)))
             for k in head[count >= items.needed[keys[head, 1]]].tolist():
                 owner_, item_, band_ = keys[k].tolist()
-                budget, length = int(items.budgets[item_]), int(items.lengths[item_])
+                budget = int(items.budgets[item_])
                 if best.get((owner_, item_), budget + 1) == 0:
                     continue
-                origin = at[owner_] + band_ * (budget + 1) - (1 << 20)
-                begin, end = max(at[owner_], origin - budget), min(at[owner_ + 1], origin + 2 * (budget + 1) + length + budget)
-                edits = alignment(items.spelt[item_], spelt[begin:end], budget)
+                lowest = band_ * (budget + 1) - (1 << 20)
+                edits = alignment(items.spelt[item_], spelt[at[owner_] : at[owner_ + 1]], lowest - budget, lowest + 2 * (budget + 1) - 1 + budget, budget)
                 if edits <= budget:
                     best[owner_, item_] = min(edits, best.get((owner_, item_), edits))
     for k in items.short:
@@ -222,37 +226,56 @@ def _slices(n: np.ndarray, most: int) -> Iterator[slice]:
         done = upto
 
 
-def _overlapping(column: pa.Array, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks (data, offsets, text of each piece) of about PIECE bytes; long texts in pieces that overlap by more than an item's region."""
+def _spelt_pieces(column: pa.Array, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Spelt texts (as by spell, text of each piece) in blocks of about PIECE bytes; a longer text in pieces that overlap by so many spelt characters."""
     data, offsets = utf8(column)
-    overlap = 8 * longest + 64  # bytes: up to four a character, and room for what spelling drops
-    step = max(PIECE, 4 * overlap)
-    begins, ends, owners = [], [], []
-    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        while True:
-            end = b if b - a <= step + overlap else a + step + overlap
-            while end < b and data[end] & 0xC0 == 0x80:
-                end += 1
-            begins.append(a)
-            ends.append(end)
-            owners.append(k)
-            if end == b:
-                break
-            a = end - overlap
-            while data[a] & 0xC0 == 0x80:
-                a += 1
+    sizes = np.diff(offsets)
     done = 0
-    while done < len(owners):
-        upto, size = done, 0
-        while upto < len(owners) and (upto == done or size + ends[upto] - begins[upto] <= step):
-            size += ends[upto] - begins[upto]
+    while done < len(sizes):
+        if sizes[done] > PIECE:
+            for piece in _long(data[offsets[done] : offsets[done + 1]], overlap):
+                yield piece, np.array([0, len(piece)]), np.array([done])
+            done += 1
+            continue
+        upto = done
+        while upto < len(sizes) and sizes[upto] <= PIECE and (upto == done or offsets[upto + 1] - offsets[done] <= PIECE):
             upto += 1
-        lengths = np.array(ends[done:upto]) - np.array(begins[done:upto])
-        cut = np.concatenate([data[a:b] for a, b in zip(begins[done:upto], ends[done:upto], strict=True)]) if size else np.empty(0, np.uint8)
-        yield cut, np.append(0, np.cumsum(lengths)), np.array(owners[done:upto])
+        yield *spell(*code_points(data[offsets[done] : offsets[upto]], offsets[done : upto + 1] - offsets[done])), np.arange(done, upto)
         done = upto
 
 
+def _long(data: np.ndarray, overlap: int) -> Iterator[np.ndarray]:
+    """A text's spelling in pieces, each beginning with the last `overlap` characters before it; only the text's ends are framed."""
+    step = max(PIECE, 2 * overlap)
+    held = np.array([32], np.uint32)
+    a = 0
+    while a < len(data):
+        b = min(a + step, len(data))
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b += 1
+        spelt = _spelling()[code_points(data[a:b], np.array([0, b - a]))[0]]
+        joined = np.concatenate([held, spelt, *([[np.uint32(32)]] if b == len(data) else [])]).astype(np.uint32)
+        blank = joined == 32
+        joined = joined[np.append(True, ~(blank[1:] & blank[:-1]))]
+        if len(joined) - len(held) >= step // 2 or b == len(data):  # else little is left of it, and more text is put behind
+            yield joined
+            held = joined[-overlap:]
+        else:
+            held = joined
+        a = b
+
+
+def found_in(column: pa.Array, items: Items) -> dict[tuple[int, int], int]:
+    """Least edits by (text, item) of a column of texts."""
+    overlap = int((items.lengths + 2 * items.budgets).max(initial=0)) + 4
+    best: dict[tuple[int, int], int] = {}
+    for spelt, at, owner in _spelt_pieces(column, overlap):
+        for t, i, e in matches(spelt, at, items):
+            place = (int(owner[t]), i)
+            best[place] = min(e, best.get(place, e))
+    return best
+
+
 def item_blocks(benchmark: DataFrame, item_key: str, text: str) -> Iterator[Items]:
     """The benchmark in blocks that fit the driver and a broadcast, whatever its size."""
     ids, texts, size = [], [], 0
@@ -277,15 +300,9 @@ def contaminated(texts: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
         def run(batches, shared=shared):
             items = shared.value
-            longest = int(items.lengths.max(initial=0) + 2 * items.budgets.max(initial=0))
             for whole in batches:
                 for x in blocks(whole, "text", 8_000_000):
-                    best: dict[tuple[int, int], int] = {}
-                    for data, offsets, owner in _overlapping(x.column(1), longest):
-                        for t, i, e in matches(data, offsets, items):
-                            place = (int(owner[t]), i)
-                            best[place] = min(e, best.get(place, e))
-                    found = sorted(best.items())
+                    found = sorted(found_in(x.column(1), items).items())
                     picked = x.column(0).take(pa.array([t for (t, _), _ in found], pa.int64()))
                     yield pa.RecordBatch.from_arrays([picked, pa.array([items.ids[i] for (_, i), _ in found], kind), pa.array([e for _, e in found], pa.int32())], names=["key", "item_id", "edits"])
 
@@ -297,9 +314,17 @@ def contaminated(texts: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     return out.withColumnRenamed("key", key)
 
 
-def decontaminate(texts: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """texts without the rows that hold an item; null ids are kept or go by themselves as all others."""
-    from .shared import Workspace
+def decontaminate(texts: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """texts without the rows that hold an item. Each row is judged by its own text, in one pass a block of the benchmark; nothing is joined."""
+    columns = texts.columns
+    rows = texts.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
+    for items in item_blocks(benchmark, item_key, item_text):
+        shared = texts.sparkSession.sparkContext.broadcast(items)
+
+        def clean(column: pa.Array, shared=shared) -> list:
+            out = np.ones(len(column), bool)
+            out[[t for t, _ in found_in(column, shared.value)]] = False
+            return [pa.array(out)]
 
-    found = Workspace(texts.sparkSession, "leaks").write("found", contaminated(texts, benchmark, key, text).select(F.col(key).alias("quern_leak")).distinct())
-    return texts.join(found, F.col(key).eqNullSafe(F.col("quern_leak")), "left_anti")
+        rows = map_texts(rows, f"c{columns.index(text)}", [("clean", "boolean", pa.bool_())], clean, 8_000_000).where("clean").drop("clean")
+    return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])

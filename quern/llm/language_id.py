@@ -10,7 +10,9 @@ hash of the id). They have 2 ** BITS rows an order for up to FULL_LANGUAGES lang
 languages double, 2 ** LEAST_BITS at least: they grow with the labels only beyond 4,096. All texts are labelled whole.
 
 Defined results: a null text or one without letters is `und` with score 0. If no language could be learned, all are `und`.
-Of equally good languages the alphabetically first wins. A word in a script of no learned language counts for none of them.
+Of equally good languages the alphabetically first wins. A word in a script of no learned language counts for none of them;
+a text with no other letters gets the first of the languages, with score 0. Repeated rows each get their row; columns of
+the input with the names of the result's columns are replaced.
 """
 
 from __future__ import annotations
@@ -232,7 +234,7 @@ def _label(column: pa.Array, model, names: list[str], with_spans: bool) -> list:
     total = np.bincount(text, size, n_texts)
     best = letters.argmax(1)
     score = np.where(total > 0, letters[np.arange(n_texts), best] / np.maximum(total, 1), 0)
-    found = [names[b] if s > 0 else "und" for b, s in zip(best, score, strict=True)]
+    found = [names[b] if n > 0 else "und" for b, n in zip(best, total, strict=True)]
     if not with_spans:
         return [found, score]
     new = np.ones(len(label), bool)

@@ -4,7 +4,8 @@ Statistics are taken from whole texts, vectorised over blocks of texts. The tree
 fitted on at most SAMPLE labelled texts, chosen by a hash of the id; the score may only fall as the shares of symbols,
 repeated lines and repeated words rise (FALLING): splits that break this are not made, and both sides of a split on such
 a statistic are kept on their side of the split's middle. Flattened to node arrays, all trees score all texts of a block
-at once. The limit is the highest that keeps KEEP of the good texts of a fifth that the trees are not fitted on.
+at once. The limit is taken on a fifth of the labelled texts that the trees are not fitted on: of the scores that tell its
+good from its bad texts with the greatest balanced accuracy, the lowest. So a few wrong labels on either side do not move it.
 
 Defined results: a null text is an empty one and fails the base rules. Without both labels among the labelled texts
 the trees keep all that the base rules keep. Columns of the input with the names of the result's columns are replaced.
@@ -21,7 +22,6 @@ from .shared import map_texts
 from .text import complete, grams, hash_spans, mix, utf8, words
 
 SAMPLE = 20_000
-KEEP = 0.999
 TREES, DEPTH, BINS, RATE, LEAST_LEAF, PENALTY = 60, 4, 32, 0.15, 20.0, 1.0
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -193,8 +193,19 @@ def fit(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     x, y = np.stack(got.figures.to_numpy()), got.quern_label.to_numpy().astype(float)
     held = np.arange(len(y)) % 5 == 0
     trees.fit(x[~held], y[~held])
-    good = trees.score(x[held & (y == 1)])
-    return trees, float(np.quantile(good, 1 - KEEP, method="lower")) if len(good) else -np.inf
+    return trees, best_limit(trees.score(x[held]), y[held])
+
+
+def best_limit(score: np.ndarray, y: np.ndarray) -> float:
+    """The lowest score from which on texts are kept with the greatest balanced accuracy; without both labels all are."""
+    n_good, n_bad = (y == 1).sum(), (y != 1).sum()
+    if not n_good or not n_bad:
+        return -np.inf
+    limits = np.append(-np.inf, np.unique(score))
+    good, bad = np.sort(score[y == 1]), np.sort(score[y != 1])
+    kept = 1 - np.searchsorted(good, limits, "left") / n_good
+    dropped = np.searchsorted(bad, limits, "left") / n_bad
+    return float(limits[(kept + dropped).argmax()])
 
 
 def judge(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", drop: tuple[str, ...] = ()) -> DataFrame:

@@ -33,7 +33,7 @@ from .shared import map_texts
 from .text import hash_spans, utf8
 
 BLANK = "▁"
-LONGEST_BATCHED = 48
+LONGEST_BATCHED = 256
 CACHED_SEGMENTS = 600_000
 PAIRS_BITS = 20
 _P = 0x9E3779B97F4A7C15

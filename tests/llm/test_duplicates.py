@@ -232,17 +232,89 @@ def test_edits_up_to_the_budget_are_found(spark):
             j = rng.choice(letters)
             (body.__setitem__, body.insert)[n % 2](j, ord("q"))
         document = prose(rng, "en", 50) + " " + "".join(map(chr, body)) + " " + prose(rng, "en", 50)
-        from quern.llm.text import utf8
-
-        assert [i for _, i, _ in decontaminate.matches(*utf8(pa.array([document])), items)] == [[0, 3][k]]
+        assert [i for _, i in decontaminate.found_in(pa.array([document]), items)] == [[0, 3][k]]
         del text
 
 
-def test_items_are_counted_whole_over_slices_of_hits(monkeypatch):
-    import pyarrow as pa
+def distance(item, text):
+    """Edits from the item to the best part of the text."""
+    row = [0] * (len(text) + 1)
+    for k, c in enumerate(item, 1):
+        now = [k]
+        for j, d in enumerate(text):
+            now.append(min(row[j] + (c != d), row[j + 1] + 1, now[j] + 1))
+        row = now
+    return min(row)
+
+
+def spelt_as_text(text):
+    column = pa.array([text])
+    from quern.llm.text import code_points, utf8
+
+    return "".join(map(chr, decontaminate.spell(*code_points(*utf8(column)))[0].tolist()))
+
 
-    from quern.llm.text import utf8
+def changed(rng, text, edits):
+    out = list(text)
+    for _ in range(edits):
+        at = rng.randrange(len(out))
+        kind = rng.randrange(3)
+        if kind == 0:
+            out[at] = rng.choice("abcdefgh")
+        elif kind == 1:
+            out.insert(at, rng.choice("abcdefgh"))
+        else:
+            del out[at]
+    return "".join(out)
 
+
+def test_verdicts_and_edits_against_all_alignments():
+    rng = random.Random(21)
+    bodies = [prose(rng, "en", n).replace("\n", " ") for n in (3, 6, 12, 25, 60)]
+    items = decontaminate.Items(list(range(len(bodies))), bodies)
+    texts, seen = [], 0
+    for body in bodies:
+        budget = int(items.budgets[bodies.index(body)])
+        for edits in [*range(budget + 4)] * 2:
+            texts.append(prose(rng, "de", 8) + " " + changed(rng, body, edits) + " " + prose(rng, "de", 8))
+    got = decontaminate.found_in(pa.array(texts), items)
+    spelt = [spelt_as_text(t) for t in texts]
+    for k, item in enumerate(items.spelt):
+        word, budget = "".join(map(chr, item.tolist())), int(items.budgets[k])
+        for t, text in enumerate(spelt):
+            edits = distance(word, text)
+            assert got.get((t, k)) == (edits if edits <= budget else None), (k, t, edits, budget)
+            seen += 0 < edits <= budget
+    assert seen > 20
+
+
+def test_alignment_on_diagonals():
+    rng = random.Random(5)
+    for _ in range(60):
+        item, text = ("".join(rng.choice("abc") for _ in range(n)) for n in (rng.randrange(1, 9), rng.randrange(0, 14)))
+        a, b = (np.array([ord(c) for c in x], np.uint32) for x in (item, text))
+        assert decontaminate.alignment(a, b, -len(item), len(text), 20) == distance(item, text)
+
+
+def test_long_texts_are_cut_after_spelling(monkeypatch):
+    rng = random.Random(31)
+    body = prose(rng, "fr", 30)
+    items = decontaminate.Items([1, 2], [body, "tiny"])
+    gap = body.replace(" ", " " * 700)
+    monkeypatch.setattr(decontaminate, "PIECE", 400)
+    for lead in (0, 50, 333, 390, 399, 400, 401, 555, 800):
+        text = "x" * lead + " " + gap + " " + "destiny " * 150
+        assert decontaminate.found_in(pa.array([text, "b", text + " tiny", None]), items) == {(0, 0): 0, (2, 0): 0, (2, 1): 0}, lead
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = [(None, ITEMS[0][1]), (None, "clean"), (1, "clean"), (1, ITEMS[5][1]), (2, None), (2, "")]
+    kept = decontaminate.decontaminate(spark.createDataFrame([(*r, True) for r in rows], "doc_id long, text string, clean boolean"), benchmark).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(None, "clean", True), (1, "clean", True), (2, None, True), (2, "", True)], key=repr)
+
+
+def test_items_are_counted_whole_over_slices_of_hits(monkeypatch):
     rng = random.Random(11)
     whole = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100))
     prompt = "answer the following question with one of the words that follow it "
@@ -250,10 +322,9 @@ def test_items_are_counted_whole_over_slices_of_hits(monkeypatch):
     changed = "".join("Z" if k % 12 == 6 else c for k, c in enumerate(whole))
     texts = ["before " + changed + " after", "so short item 14x is here", *(prose(rng, "en", 20) + " " + b + " " + prose(rng, "en", 20) for b in bodies[2:]), "ab" * 400]
     items = decontaminate.Items(list(range(len(bodies))), bodies)
-    data, offsets = utf8(pa.array(texts))
-    expected = decontaminate.matches(data, offsets, items)
-    assert {(k, k) for k in range(len(bodies))} <= {(t, i) for t, i, _ in expected}
+    expected = decontaminate.found_in(pa.array(texts), items)
+    assert {(k, k) for k in range(len(bodies))} <= set(expected)
     slices = decontaminate._slices
     for most in (1, 7, 100):
         monkeypatch.setattr(decontaminate, "_slices", lambda n, _, most=most: slices(n, most))
-        assert decontaminate.matches(data, offsets, items) == expected
+        assert decontaminate.found_in(pa.array(texts), items) == expected

@@ -75,6 +75,12 @@ def test_language(docs, rows, nothing):
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_letters_of_a_script_that_was_not_learned(spark, docs):
+    texts = [(1, "Привет мир"), (2, "123 !?"), (3, None), (4, "Привет hello мир")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(spark.createDataFrame(texts, "doc_id long, text string"), docs).collect()}
+    assert got[1] == ("de", 0.0) and got[2] == got[3] == ("und", 0.0) and got[4][0] != "und" and 0 < got[4][1] < 0.5
+
+
 def test_every_label_is_learned(spark):
     rng = random.Random(17)
     rows, names = [], [f"l{k:02}" for k in range(70)]
@@ -151,6 +157,18 @@ def test_quality(spark, docs, rows, nothing):
     assert all(r["kept"] != r["base_failed"] for r in none)
 
 
+def test_limit_bears_wrong_labels():
+    rng = np.random.default_rng(2)
+    score = np.concatenate([rng.normal(2, 0.5, 900), rng.normal(-2, 0.5, 100)])
+    y = np.r_[np.ones(900), np.zeros(100)]
+    y[:9] = 0
+    y[-5:] = 1
+    assert -1.5 < quality.best_limit(score, y) < 1.5
+    assert quality.best_limit(score, np.ones(1000)) == -np.inf
+    every = [((score[y == 1] >= t).mean() + (score[y == 0] < t).mean(), -t) for t in [*np.unique(score), -np.inf]]
+    assert quality.best_limit(score, y) == -max(every)[1]
+
+
 def test_trees_are_monotone_and_learn():
     rng = np.random.default_rng(0)
     x = rng.random((3000, len(quality.STATISTICS)))

@@ -50,14 +50,46 @@ def test_long_texts_take_little_time(text):
 
 
 def test_labelers_are_weighed():
-    counts = {"0:+++00": 100, "0:---00": 80, "0:+-+00": 3, "0:-++00": 4, "2:+++00": 50, "2:---00": 60}
+    counts = {"0:+++00:13311": 100, "0:---00:10000": 80, "0:+-+00:13311": 3, "0:-++00:13311": 4, "2:+++00:13100": 50, "2:---00:13100": 60}
     z = pii.reliabilities(counts)
     assert z["0:+++00"] > 0.95 and z["0:---00"] < 0.05
+    assert z == pii.reliabilities(counts | {"0:+++00:13311": 40, "0:+++00:00000": 60})  # labelers are judged by votes alone
     weights = pii.train(counts)
-    assert pii._features("0:+++00") @ weights > 0 > pii._features("2:---00") @ weights
+    assert pii._features("0:+++00:13311") @ weights > 0 > pii._features("2:---00:13100") @ weights
     assert not pii.train({}).any()
 
 
+def test_gazetteers():
+    assert [pii._listed("card", n) for n in ("4111 1111 1111 1111", "2221000000000009", "37828224631000", "9111111111111111")] == [1, 1, -1, -1]
+    assert [pii._listed("ip", n) for n in ("8.8.8.8", "127.0.0.1", "192.0.2.7", "240.1.1.1", "256.1.1.1")] == [1, -1, -1, -1, -1]
+    assert [pii._listed("phone", n) for n in ("+49 30 1234567", "+999 12345678", "(030) 123-4567")] == [1, -1, 0]
+    assert [pii._listed("email", n) for n in ("ann at mail dot com", "ann (at) mail (dot) invalidtop")] == [1, -1]
+    assert [pii._listed("secret", n) for n in ("ghp_abcdef123", "plainword")] == [1, 0]
+    assert pii._entropy("ab" * 5000) == pytest.approx(1.0)
+
+
+def test_all_spans_against_plain_loops(spark):
+    rng = random.Random(13)
+    parts = [
+        "token = f33e61083db5dbdf4bd2369d2f80176e57f7fda2", "ann at mail dot com", "call 523-555-1055 now", "+1 (523) 555-1055", "+999", "card 4111 1111 1111 1112", "4111111111111111", "10.20.30.40",
+        "999.1.1.1", "bob@example.org", "plain words", "isbn 97831614841001", "password: hunter2hunter2", "abc" * 12, "x", "(030) 555-1234", "version 1.2.3.4", "+4930123456 78",
+    ]
+    texts = [rng.choice([" ", ", ", "\n"]).join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    weights = pii.train(collections.Counter(p for t in texts for p in pii._patterns(t)))
+    expected, added = {}, 0
+    for i, t in enumerate(texts):
+        base = pii.base_spans(t)[0]
+        more = []
+        for begin, kind, end, votes in pii.candidates(t)[1]:
+            assert not any(a <= begin and end <= b for a, _, b in base)
+            if pii._features(pii._pattern(t, kind, begin, end, votes)) @ weights > 0:
+                more.append((begin, kind, end))
+        added += len(more)
+        expected[i] = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + more))
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert got == expected and added > 100
+
+
 def test_pii(docs, rows, nothing):
     got = {r["doc_id"]: r for r in pii.find(docs).collect()}
     assert len(got) == len(rows)
