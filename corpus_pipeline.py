@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; what it decides takes effect on what it returns.
 run() writes what a stage returns to the shared folder and reads it again as the next stage's input, so a lost executor
 costs at most the stage at hand. All stages but the last return the columns of documents.
+
+Defined results, stage by stage: a null or empty text, or one without letters, goes in the first stage; a null id is no
+reason for a row to go or to stay, in any stage, and rows that share an id are judged by their own texts; repeated rows are
+copies, of which the second stage keeps one; of equally good languages the alphabetically first is filled in; further
+columns of documents, whatever their names, are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -19,7 +24,9 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, or with no language of at least LEAST_SCORE of the letters, go; missing labels are filled in."""
+    """Texts without letters, or with no language of at least LEAST_SCORE of the letters, go; missing labels are filled in. Where no row has a label and a text, no language is known and all rows stay."""
+    if docs.where("lang is not null and text is not null").isEmpty():
+        return docs
     # the rows travel as one column: docs may have columns with the operator's names
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("quern_row"), F.col("text"))
     found = language_id.identify(given, docs, drop=("text",))
@@ -28,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the text with the smallest id stays."""
+    """Of each class of near duplicates the row with the smallest id stays, one without an id only if no row of the class has one."""
     return near_dedup.first_of_each_class(docs)
 
 
