@@ -374,7 +374,6 @@ def literal_csv_roundtrip(spark, sf_dir):
     import os
 
     from .plans import directory
-    from .sources import literal_csv as L
 
     folder = new_folder(spark, "csv").removeprefix("file://").removeprefix("file:")  # the reader opens mounted paths
     os.makedirs(folder)
@@ -385,7 +384,7 @@ def literal_csv_roundtrip(spark, sf_dir):
         paths.append(f"{folder}/customer.csv{suffix}")
         with open(paths[-1], "wb") as out:
             out.write(squeeze(body))
-    made, _ = directory.profiled(L.read_files(spark, paths))
+    made, _ = directory.profiled(directory.scanned(spark, paths))
     return made.select(F.regexp_extract("file", r"customer\.csv.*$", 0).alias("name"), "column_name", "rows_seen", "empty_count", "distinct_count", "number_count", "longest_value_length")
 
 

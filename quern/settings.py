@@ -16,6 +16,5 @@ PREVIEW_ROWS = 1000
 EXACT_COUNT_BYTES = 8 << 20
 CELLS_A_BATCH, LEAST_BATCH, MOST_BATCH = 1_000_000, 2_000, 100_000
 MANIFEST_FORMAT = 1
-CHECKPOINT_ROWS = 1_000_000
 
 DRAFTS, MARKDOWN, REPORTS, INDEX = "draft_croissants", "draft_markdown", "reports", "INDEX.txt"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..settings import CELLS_A_BATCH, EXACT_COUNT_BYTES, LEAST_BATCH, MOST_BATCH
 
 LISTING = "path string, name string, size long, modified long"
 
@@ -36,9 +39,9 @@ def collisions(files: DataFrame) -> DataFrame:
 
 
 def rows_a_batch(columns: int) -> int:
-    from ..settings import CELLS_A_BATCH, LEAST_BATCH, MOST_BATCH
-
-    return max(LEAST_BATCH, min(MOST_BATCH, CELLS_A_BATCH // max(columns, 1)))
+    """Rows of so many columns that make a batch of CELLS_A_BATCH cells, within bounds."""
+    cells = int(os.environ.get("QUERN_CELLS_A_BATCH", CELLS_A_BATCH))
+    return max(LEAST_BATCH, min(MOST_BATCH, cells // max(columns, 1)))
 
 
 def estimated_rows(path: str, points: int = 8, sample: int = 1 << 16) -> int | None:
@@ -46,9 +49,6 @@ def estimated_rows(path: str, points: int = 8, sample: int = 1 << 16) -> int | N
     import bz2
     import gzip
     import lzma
-    import os
-
-    from ..settings import EXACT_COUNT_BYTES
 
     opener = {"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}.get(path.rsplit(".", 1)[-1].lower())
     try:

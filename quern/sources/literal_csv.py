@@ -2,7 +2,9 @@
 
 Spark's own reader drops blank lines, forgives rows of the wrong width and unterminated quotes, and does not know xz. Here
 each file is one partition of rows (file, row, cells, problem); row 0 is the header. A file that cannot be read gives one row
-with its problem, so that it never fails the job that reads its neighbours.
+with its problem, so that it never fails the job that reads its neighbours. Rows go to Spark in Arrow batches of about
+CELLS_A_BATCH cells. Whether a line break is inside quotes can only be told from the file's beginning on, so files are what
+is read side by side: a directory of many files scales with them, a single file does not.
 """
 
 from __future__ import annotations
@@ -11,23 +13,23 @@ import csv
 import io
 import sys
 from collections.abc import Iterator
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import rows_a_batch
+from .lines import open_bytes
+
 SCHEMA = "file string, row long, cells array<string>, problem string"
-_END = "\x00end of file\x00"
+_ARROW = pa.schema([("file", pa.string()), ("row", pa.int64()), ("cells", pa.list_(pa.string())), ("problem", pa.string())])
 
 
 def open_text(path: str) -> io.TextIOBase:
     """A local file, plain or compressed, as strict UTF-8 without a leading mark."""
-    import bz2
-    import gzip
-    import lzma
-
-    opener = {"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}.get(path.rsplit(".", 1)[-1].lower(), open)
-    return io.TextIOWrapper(opener(path, "rb"), encoding="utf-8-sig", errors="strict", newline="")
+    return io.TextIOWrapper(open_bytes(path), encoding="utf-8-sig", errors="strict", newline="")
 
 
 def header_names(cells: list[str]) -> list[str]:
@@ -45,39 +47,73 @@ def header_names(cells: list[str]) -> list[str]:
     return out
 
 
-def rows_of(lines: Iterator[str], separator: str = ",", most: int | None = None) -> Iterator[list[str]]:
-    """Header names, then rows of as many cells. Raises ValueError with what is wrong with the text."""
+class _Lines:
+    """Lines of a text; whether they have ended, and whether the last one held a zero character."""
 
-    def with_end():
-        yield from lines
-        yield _END
+    def __init__(self, lines: Iterator[str]):
+        self.lines, self.ended, self.zero = lines, False, False
 
-    reader = csv.reader(with_end(), delimiter=separator)
-    width = None
-    n = 0
+    def __iter__(self):
+        for line in self.lines:
+            if "\x00" in line:
+                self.zero = True
+            yield line
+        self.ended = True
+
+
+def rows_of(lines: Iterator[str], separator: str = ",", most: int | None = None) -> Iterator[list[str]]:
+    """Header names, then rows of as many cells; a cell ends at a zero character. Raises ValueError with what is wrong with the text."""
+    watched = _Lines(lines)
+    width = n = 0
     try:
-        for row in reader:
-            if row == [_END]:
-                if width is None:
-                    raise ValueError("no columns to read: the file is empty")
-                return
-            if any(_END in cell for cell in row):
+        for row in csv.reader(iter(watched), delimiter=separator):
+            if watched.ended:  # the reader asked for more to end this row
                 raise ValueError(f"a quote that opens in row {n} is never closed")
-            row = [cell.split("\x00", 1)[0] for cell in row]
-            if width is None:
-                if not row:
-                    continue
-                width = len(row)
-                yield header_names(row)
+            if watched.zero:
+                row, watched.zero = [cell.split("\x00", 1)[0] for cell in row], False
+            if not width:
+                if row:
+                    width = len(row)
+                    yield header_names(row)
                 continue
-            if len(row) > width:
-                raise ValueError(f"row {n + 1} has {len(row)} cells, the header has {width}")
+            if len(row) != width:
+                if len(row) > width:
+                    raise ValueError(f"row {n + 1} has {len(row)} cells, the header has {width}")
+                row += [""] * (width - len(row))
             n += 1
             if most is not None and n > most:
                 return
-            yield row + [""] * (width - len(row))
+            yield row
     except csv.Error as problem:
         raise ValueError(str(problem)) from problem
+    if not width:
+        raise ValueError("no columns to read: the file is empty")
+
+
+def _batch(path: str, first: int, rows: list[list[str]], width: int) -> pa.RecordBatch:
+    n = len(rows)
+    cells = pa.ListArray.from_arrays(pa.array(range(0, n * width + 1, width), pa.int32()), pa.array(chain.from_iterable(rows), pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(range(first, first + n), pa.int64()), cells, pa.nulls(n, pa.string())], schema=_ARROW)
+
+
+def batches_of(path: str, separator: str, most: int | None) -> Iterator[pa.RecordBatch]:
+    """A file's rows; whatever is wrong with it is the problem of a last row."""
+    csv.field_size_limit(sys.maxsize)
+    held: list[list[str]] = []
+    done, width, room = 0, 0, 1
+    try:
+        with open_text(path) as f:
+            for row in rows_of(iter(f), separator, most):
+                if not width:
+                    width, room = len(row), rows_a_batch(len(row))
+                held.append(row)
+                if len(held) == room:
+                    yield _batch(path, done, held, width)
+                    done, held = done + len(held), []
+        if held:
+            yield _batch(path, done, held, width)
+    except Exception as problem:
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.string())), pa.array([f"{type(problem).__name__}: {problem}"])], schema=_ARROW)
 
 
 class _Reader(DataSourceReader):
@@ -90,14 +126,7 @@ class _Reader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
-        path = partition.value
-        csv.field_size_limit(sys.maxsize)
-        try:
-            with open_text(path.removeprefix("file://").removeprefix("file:")) as f:
-                for n, row in enumerate(rows_of(iter(f), self.separator, self.most)):
-                    yield (path, n, row, None)
-        except Exception as problem:  # whatever is wrong with a file is its row's problem
-            yield (path, None, None, f"{type(problem).__name__}: {problem}")
+        yield from batches_of(partition.value, self.separator, self.most)
 
 
 class LiteralCsv(DataSource):
@@ -131,14 +160,13 @@ def read_csv(spark: SparkSession, path: str, separator: str = ",", rows: int | N
     return raw.where("row > 0").select(*[F.col("cells")[k].alias(c) for k, c in enumerate(head[0]["cells"])])
 
 
-def file_cells(raw: DataFrame) -> DataFrame:
-    """(file, row, position, value) of the rows below the header, without those of bad files."""
-    bad = raw.where("problem is not null").select("file")
-    rows = raw.where("row > 0").join(bad, "file", "left_anti")
-    return rows.select("file", "row", F.posexplode("cells").alias("position", "value"))
+#: Places of what is no cell of a row: a header's cells keep theirs.
+PROBLEM = -1
 
 
-def file_headers(raw: DataFrame) -> DataFrame:
-    """(file, position, column_name) of good files."""
-    bad = raw.where("problem is not null").select("file")
-    return raw.where("row = 0").join(bad, "file", "left_anti").select("file", F.posexplode("cells").alias("position", "column_name"))
+def value_counts(raw: DataFrame) -> DataFrame:
+    """(file, header, position, value, n, row): how often each value is in each column of the files, and its first row; headers' cells, and problems at position PROBLEM. One scan, one exchange."""
+    cells = F.when(F.col("problem").isNull(), F.col("cells")).otherwise(F.array("problem"))
+    placed = raw.select("file", "row", F.coalesce(F.col("row") == 0, F.lit(False)).alias("header"), F.col("problem").isNotNull().alias("bad"), F.posexplode(cells).alias("position", "value"))
+    at = F.when(F.col("bad"), F.lit(PROBLEM)).otherwise(F.col("position")).alias("position")
+    return placed.groupBy("file", "header", at, "value").agg(F.count("*").alias("n"), F.min("row").alias("row"))

@@ -7,7 +7,7 @@ import lzma
 
 import pytest
 
-from quern.plans import directory, draft, markdown
+from quern.plans import directory, draft, manifest, markdown
 from quern.sources import files as S
 from quern.sources import literal_csv as L
 
@@ -68,6 +68,70 @@ def test_directory(spark, folder, tmp_path):
     assert again.count("SKIPPED -- already documented. 2 rows, 2 columns") == 4 and again.count("check before sharing: username") == 4
 
 
+def test_a_run_goes_on_where_another_ended(spark, folder, tmp_path, monkeypatch):
+    out, state = tmp_path / "out", f"file://{tmp_path}/state"
+    whole, said = directory.document(spark, f"file://{folder}", str(tmp_path / "whole")), []
+    written = directory._written
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(directory, "_written", killed)
+    with pytest.raises(KeyboardInterrupt):
+        directory.document(spark, f"file://{folder}", str(out), state=state, save_every=60)
+    left = directory.State(spark, state, f"file://{folder}").outstanding()
+    assert len(left) == 8 and directory.State(spark, state, "file:///elsewhere").outstanding() == []
+    monkeypatch.setattr(directory, "_written", written)
+    (folder / "jobs.csv").write_text("username,exit_code\nannika,0\nboris,1\ncarla,7\n")
+    scanned, scan = [], directory.scanned
+    monkeypatch.setattr(directory, "scanned", lambda spark, paths, *more: scanned.append(paths) or scan(spark, paths, *more))
+    text = directory.document(spark, f"file://{folder}", str(out), state=state, told=said.append)
+    assert [[p.rsplit("/", 1)[-1] for p in paths] for paths in scanned] == [["jobs.csv"]]
+    assert any("7 files were scanned by an earlier run" in s for s in said) and said[-1].startswith("6 read, 0 skipped, 2 failed")
+    assert directory.State(spark, state, f"file://{folder}").outstanding() == []
+    mine = lambda t: [x for x in t.split("\n") if "jobs" not in x and "rows, 2 columns" not in x and ":" not in x]
+    assert mine(text) == mine(whole) and "3 rows, 2 columns read" in text
+
+
+def test_refusals(spark):
+    row = {"format": 1, "path": "/a", "size": 3, "modified": 5, "separator": ",", "cap": 9, "preview": 0, "identifiers": True}
+    wanted = spark.createDataFrame([row], manifest.WANTED)
+    why = lambda saved, reason=None: manifest.validity(wanted, saved and spark.createDataFrame([{**row, "rows_done": 1, "counts": "g", **saved}], manifest.SCHEMA), reason).first()["refusal"]
+    assert why(None) == "nothing saved" and why({"rows_done": 1}) is None and why({"rows_done": 1}, "off") == "off"
+    said = [why(x) for x in ({"path": "/b"}, {"format": 7}, {"size": 4}, {"modified": 4}, {"cap": 8}, {"preview": 10}, {"rows_done": 0})]
+    assert said == ["nothing saved", "saved by another version", "the file has changed", "the file has changed", "the settings have changed", "the settings have changed", "no progress saved"]
+
+
+def test_one_scan_of_the_files(spark, folder):
+    plan = L.value_counts(L.read_files(spark, [f"{folder}/jobs.csv"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 1 and plan.count("Exchange") == 1
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from quern import cli
+
+    assert cli.main(["file", str(folder / "jobs.csv"), "--json", str(tmp_path / "jobs.json"), "--quiet"]) == 0
+    made = json.loads((tmp_path / "jobs.json").read_text())
+    assert (made["file"]["rows"], made["file"]["columns"], [c["column_name"] for c in made["columns_to_check"]]) == (2, 2, ["username"])
+    assert cli.main(["file", str(folder / "broken.csv"), "--quiet"]) == 1
+    assert cli.main(["directory", str(folder), "--output", str(tmp_path / "o"), "--full", "--no-croissant"]) == 0
+    said = capsys.readouterr()
+    assert "8 CSV files" in said.err and "full scan" in said.out and not (tmp_path / "o" / "draft_croissants").exists()
+    (tmp_path / "m.json").write_text('{"name": "x"}')
+    assert cli.main(["render", str(tmp_path / "m.json"), "-o", str(tmp_path / "m.md")]) == 0 and (tmp_path / "m.md").read_text().startswith("# x")
+    with pytest.raises(SystemExit):
+        cli.main(["render", str(tmp_path / "m.json"), "a.md", "-o", "b.md"])
+    with pytest.raises(SystemExit):
+        cli.main(["--version"])
+    assert "quern 0" in capsys.readouterr().out
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_text('{"log": "x"}\n{"log": "level=info msg=y", "_p": "F"}\n{bad\n')
+    assert cli.main(["logs", str(tmp_path / "a.txt"), str(tmp_path / "b.txt"), str(tmp_path / "gone"), "--out", str(tmp_path / "l")]) == 0
+    said = capsys.readouterr().out
+    assert "a.txt: 3 records, 0 fragments joined, 1 problems" in said and "all 2 files\n  records              6" in said and "gone: no such file" in said
+    assert (tmp_path / "l" / "b.parsed.jsonl").is_dir()
+
+
 def test_preview_ends_early(spark, folder):
     rows = L.read_csv(spark, f"{folder}/dull.csv", rows=3).collect()
     assert [r["varied"] for r in rows] == ["0", "1", "2"]

@@ -89,10 +89,14 @@ def test_one_output_a_name(spark):
 
 
 def test_manifest_is_replaced(spark, tmp_path):
-    path = f"file://{tmp_path}/m"
-    for n in (2, 3):
-        manifest.save(spark.range(n), path)
-    assert spark.read.parquet(path).count() == 3
+    folder = f"file://{tmp_path}/m"
+    assert manifest.read(spark, folder) is None
+    for n in (2, 3, 4):
+        manifest.save(spark.range(n), folder)
+    (tmp_path / "m" / "manifest-9").mkdir()  # a version that was never finished does not count
+    assert manifest.read(spark, folder).count() == 4 and manifest.versions(spark, folder) == [2, 3]
+    manifest.clear(spark, folder)
+    assert manifest.read(spark, folder) is None
 
 
 def test_entry_and_queries_without_corpus_operators(spark):
