@@ -56,6 +56,11 @@ def validity(wanted: DataFrame, saved: DataFrame | None, not_at_all: str | None
     return both.select("w.*", why.alias("refusal"))
 
 
+def state_counts(outcomes: DataFrame) -> DataFrame:
+    """(status, n): how many files are in which state."""
+    return outcomes.groupBy("status").agg(F.count("*").alias("n"))
+
+
 def _hadoop(spark: SparkSession, folder: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     return path, path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -304,26 +304,40 @@ UNION ALL SELECT line, text, 0, true FROM ended WHERE NOT done"""
 
 
 def log_tallies(spark, sf_dir):
-    return podlogs.tallies(podlogs.structure(_log_lines(spark, sf_dir))).where("facet in ('records', 'shapes', 'levels', 'sources', 'problems')").select("file", "facet", "name", "n")
+    return podlogs.tallies(podlogs.structure(_log_lines(spark, sf_dir))).select("file", "facet", "name", "n")
 
 
 def log_tallies_total(spark, sf_dir):
-    return podlogs.tallies(podlogs.structure(_log_lines(spark, sf_dir)), by_file=False).where("facet in ('records', 'shapes', 'levels', 'sources', 'problems')").select("facet", "name", "n")
+    return podlogs.tallies(podlogs.structure(_log_lines(spark, sf_dir)), by_file=False).select("facet", "name", "n")
 
 
-_TALLY = f"""SELECT 'part' || CAST(event_id % 2 AS VARCHAR) AS file, unnest(['records', 'shapes', 'sources', 'levels', 'problems']) AS facet,
-unnest(['', {_SHAPE_OF}, 'ns/' || event_type, CASE event_id % 4 WHEN 0 THEN 'INFO' WHEN 1 THEN 'warn' WHEN 2 THEN 'error' ELSE NULL END, CASE WHEN event_id % 4 = 0 THEN 'conflict' END]) AS name FROM events"""
-TALLY_SQL = f"SELECT file, facet, name, count(*) AS n FROM ({_TALLY}) WHERE name IS NOT NULL GROUP BY 1, 2, 3"
-TALLY_TOTAL_SQL = f"SELECT facet, name, count(*) AS n FROM ({_TALLY}) WHERE name IS NOT NULL GROUP BY 1, 2"
+def log_tallies_shown(spark, sf_dir):
+    return podlogs.shown_tallies(podlogs.tallies(podlogs.structure(_log_lines(spark, sf_dir)))).select("file", "facet", "name", "n", "rank", "kinds")
+
+
+#: Fields that records of each shape have, in order; from the sixth on those of their lines.
+_FIELDS = {
+    0: "log namespace container pod uid log.time log.level log.message log.userName log.kind log.event user context.pod", 1: "log namespace container pod uid log.time log.level log.message ts severity msg x",
+    2: "log namespace container pod uid log.level log.msg log.kind log.message", 3: "log namespace container pod uid log.message",
+}
+_EVENT = """left(CASE event_id % 4 WHEN 0 THEN '/api/' || event_type || ': done | a note' WHEN 1 THEN event_type WHEN 2 THEN 'it failed' ELSE 'plain text of ' || event_type END, 80)"""
+_TALLY = f"""SELECT 'part' || CAST(event_id % 2 AS VARCHAR) AS file, event_id, 0 AS at, unnest(['records', 'partials', 'shapes', 'sources', 'levels', 'events', 'problems']) AS facet,
+unnest(['', '', {_SHAPE_OF}, 'ns/' || event_type, CASE event_id % 4 WHEN 0 THEN 'INFO' WHEN 1 THEN 'warn' WHEN 2 THEN 'error' ELSE NULL END, {_EVENT}, CASE WHEN event_id % 4 = 0 THEN 'conflict' END]) AS name,
+unnest([1, 0, 1, 1, 1, 1, 1]) AS n FROM events UNION ALL """ + " UNION ALL ".join(f"SELECT 'part' || CAST(event_id % 2 AS VARCHAR), event_id, 0, 'fields', unnest({names.split()}), 1 FROM events WHERE event_id % 4 = {k}" for k, names in _FIELDS.items())
+TALLY_SQL = f"SELECT file, facet, name, CAST(sum(n) AS BIGINT) AS n FROM ({_TALLY}) WHERE name IS NOT NULL GROUP BY 1, 2, 3"
+TALLY_TOTAL_SQL = f"SELECT facet, name, CAST(sum(n) AS BIGINT) AS n FROM ({_TALLY}) WHERE name IS NOT NULL GROUP BY 1, 2"
+TALLY_SHOWN_SQL = f"""WITH c AS (SELECT file, facet, name, CAST(sum(n) AS BIGINT) AS n, min(event_id) AS first FROM ({_TALLY}) WHERE name IS NOT NULL GROUP BY 1, 2, 3)
+SELECT file, facet, name, n, rank, kinds FROM (SELECT *, CAST(row_number() OVER (PARTITION BY file, facet ORDER BY n DESC, first, name) AS INTEGER) AS rank, count(*) OVER (PARTITION BY file, facet) AS kinds FROM c)
+WHERE rank <= CASE facet WHEN 'sources' THEN 6 WHEN 'events' THEN 8 ELSE 1000 END"""
 
 
 def key_union(spark, sf_dir):
-    lines = _log_lines(spark, sf_dir).where("line % 4 in (0, 2)")
-    return podlogs.key_order(podlogs.structure(lines)).select("key", "ord")
+    return podlogs.key_order(podlogs.structure(_log_lines(spark, sf_dir))).select("key", "ord")
 
 
-KEY_UNION_SQL = """SELECT unnest(['log', 'namespace', 'container', 'pod', 'uid', 'log.time', 'log.level', 'log.message', 'log.userName', 'log.kind', 'log.event', 'user', 'context.pod',
-'log.msg', 'parse.line', 'parse.log_shape', 'parse.partials_joined', 'parse.problems']) AS key, CAST(unnest(range(18)) + 1 AS INTEGER) AS ord"""
+_PARSED = "parse.line parse.log_shape parse.partials_joined parse.problems"
+_PLACED_KEYS = " UNION ALL ".join(f"SELECT event_id % 2 AS file, event_id, unnest({(names + ' ' + _PARSED).split()}) AS key, unnest(range({len((names + ' ' + _PARSED).split())})) AS place FROM events WHERE event_id % 4 = {k}" for k, names in _FIELDS.items())
+KEY_UNION_SQL = f"""SELECT key, CAST(row_number() OVER (ORDER BY starts_with(key, 'parse.'), file, event_id, place) AS INTEGER) AS ord FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY file, event_id, place) AS k FROM ({_PLACED_KEYS})) WHERE k = 1"""
 _NAMES = ("a.csv", "B.CSV.GZ", "c.csv.bz2", "d.Csv.xz", "e.csv.zip", "f.tar.gz", "g.parquet", "noext", ".hidden", "h.csv.csv", "i.v1.csv")
 
 
@@ -394,19 +408,6 @@ count(*) FILTER (regexp_matches(value, '{NUMBER}')) AS number_count, CAST(max(le
 FROM ({_CUSTOMER}), (SELECT unnest(['customer.csv', 'customer.csv.gz', 'customer.csv.bz2', 'customer.csv.xz']) AS name) GROUP BY 1, 2"""
 
 
-def draft_markdown(spark, sf_dir):
-    from .plans import draft, markdown
-
-    freq = P.frequencies(P.cells(P.as_text(table(spark, sf_dir, "nation"))))
-    top = {r["column_name"]: [] for r in freq.select("column_name").distinct().collect()}
-    for r in P.top_values(freq).orderBy("column_name", "rank").collect():
-        top[r["column_name"]].append({"value": r["value"], "count": r["n"]})
-    columns = [r.asDict() | {"most_common_values": top[r["column_name"]]} for r in P.profile(freq).orderBy("position").collect()]
-    file = {"path": "nation.csv", "name": "nation.csv", "stem": "nation", "size": 1, "rows": columns[0]["rows_seen"], "scope": "full scan"}
-    lines = markdown.render(draft.build(file, columns, None)).split("\n")
-    return spark.createDataFrame(list(enumerate(lines)), "line long, text string")
-
-
 def stream_profile(spark, sf_dir):
     from .streaming import profile as stream
 
@@ -414,9 +415,9 @@ def stream_profile(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     events.write.mode("overwrite").parquet(f"{folder}/in")
     rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    name = "quern_stream_profile"
-    stream.run(rows, ["event_type", "user_id"], name, f"{folder}/state").awaitTermination()
-    return P.profile(spark.table(name), ("column_name",)).select("column_name", "rows_seen", "distinct_count", "number_count")
+    for _ in range(2):  # the second run finds nothing new and goes on from the first one's state
+        stream.run(rows, ["event_type", "user_id"], f"{folder}/out", f"{folder}/state").awaitTermination()
+    return P.profile(stream.frequencies(spark, f"{folder}/out"), ("column_name",)).select("column_name", "rows_seen", "distinct_count", "number_count")
 
 
 STREAM_SQL = f"""SELECT column_name, count(*) AS rows_seen, least(count(DISTINCT value), 1000) AS distinct_count, count(*) FILTER (regexp_matches(value, '{NUMBER}')) AS number_count
@@ -428,12 +429,11 @@ def stream_fragments(spark, sf_dir):
 
     folder = new_folder(spark, "stream")
     talks = table(spark, sf_dir, "conversations").selectExpr("CAST(conv_id AS STRING) AS source", "conv_id * 1000 + turn AS line", "CASE WHEN turn % 3 = 2 THEN 'F' ELSE 'P' END AS part", "text AS log")
-    talks.coalesce(1).write.mode("overwrite").parquet(f"{folder}/in")
+    talks.repartition("source").write.mode("overwrite").parquet(f"{folder}/in")  # a source's fragments come in one file
     rows = spark.readStream.schema(talks.schema).parquet(f"{folder}/in")
-    name = "quern_stream_fragments"
-    query = fragments.join(rows, patience=None).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = fragments.join(rows, patience=None).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).where("not unfinished").select("line", "log", "partials")
+    return spark.read.parquet(f"{folder}/out").where("not unfinished").select("line", "log", "partials")
 
 
 STREAM_FRAGMENT_SQL = FRAGMENT_SQL.split("SELECT min(line)")[0] + "SELECT min(line) AS line, string_agg(text, '' ORDER BY line) AS log, CAST(count(*) - 1 AS INTEGER) AS partials FROM ended WHERE done GROUP BY conv_id, grp"
@@ -442,8 +442,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         profile_basic, profile_lengths, profile_distinct_capped, profile_numbers, top_values, coverage_suppression, constant_empty_columns, identifier_name_watch, identifier_shape, preview_vs_full, file_rollup,
-        skip_existing_anti, reuse_semi, outcomes_in_order, manifest_validity, log_shapes, context_merge, json_props_flatten, message_pairs, fragment_join, log_tallies, log_tallies_total, key_union,
-        suffix_stem_compression, format_helpers, markdown_cell, short_type, literal_csv_roundtrip, draft_markdown, stream_profile, stream_fragments,
+        skip_existing_anti, reuse_semi, outcomes_in_order, manifest_validity, log_shapes, context_merge, json_props_flatten, message_pairs, fragment_join, log_tallies, log_tallies_total, log_tallies_shown, key_union,
+        suffix_stem_compression, format_helpers, markdown_cell, short_type, literal_csv_roundtrip, stream_profile, stream_fragments,
     )
 }
 
@@ -451,6 +451,6 @@ ORACLE_SQL = {
     "profile_basic": BASIC_SQL, "profile_lengths": LENGTHS_SQL, "profile_distinct_capped": DISTINCT_SQL, "profile_numbers": NUMBERS_SQL, "top_values": TOP_SQL, "coverage_suppression": COVERAGE_SQL,
     "constant_empty_columns": CONSTANT_SQL, "identifier_name_watch": WATCH_SQL, "identifier_shape": SHAPE_SQL, "preview_vs_full": PREVIEW_SQL, "file_rollup": ROLLUP_SQL, "skip_existing_anti": ANTI_SQL,
     "reuse_semi": SEMI_SQL, "outcomes_in_order": ORDER_SQL, "manifest_validity": VALIDITY_SQL, "log_shapes": SHAPES_SQL, "context_merge": CONTEXT_SQL, "json_props_flatten": PROPS_SQL, "message_pairs": PAIRS_SQL,
-    "fragment_join": FRAGMENT_SQL, "log_tallies": TALLY_SQL, "log_tallies_total": TALLY_TOTAL_SQL, "key_union": KEY_UNION_SQL, "suffix_stem_compression": SUFFIX_SQL, "format_helpers": FORMAT_SQL,
+    "fragment_join": FRAGMENT_SQL, "log_tallies": TALLY_SQL, "log_tallies_total": TALLY_TOTAL_SQL, "log_tallies_shown": TALLY_SHOWN_SQL, "key_union": KEY_UNION_SQL, "suffix_stem_compression": SUFFIX_SQL, "format_helpers": FORMAT_SQL,
     "markdown_cell": CELL_SQL, "short_type": SHORT_SQL, "literal_csv_roundtrip": CSV_SQL, "stream_profile": STREAM_SQL, "stream_fragments": STREAM_FRAGMENT_SQL,
 }
