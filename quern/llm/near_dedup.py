@@ -13,9 +13,11 @@ under PRESELECT of all cases are not computed exactly, which loses a link of sim
 10 ** -7 (over five standard errors).
 
 Not all pairs of a bucket are looked at. In each round a text is compared with one other: of all its buckets' leaders the
-first. A bucket's first leader is its first text; in later rounds only buckets that still hold texts of several classes
-matter, and each has leaders of two classes, so that each of its texts meets one of another class. Linked texts become one
-class. So n copies of a text cost n comparisons a round. Last, the pairs of texts of different classes that still share a
+most central. Central is a text that is in large buckets (the sum of their sizes): of the copies of a text, each with edits
+of its own, that is the one with the fewest, which others are alike to even where they are not alike to each other. From
+the second round on only buckets that still hold texts of several classes matter, the order of leaders is shaken by a hash
+of the round, and texts of the leader's class meet a text of another class. Linked texts become one class. So n copies of a
+text cost n comparisons a round. Last, the pairs of texts of different classes that still share a
 bucket are compared inside tasks, block by block of at most BLOCK texts (and BLOCK_BYTES) against as many: signatures first,
 and texts only for those that agree with any; only links become rows. No other pair that banding proposes is lost.
 
@@ -124,9 +126,9 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 #: Rounds of comparing each text of an open bucket with one leader, before the blocks.
-ROUNDS = 4
+ROUNDS = 2
 #: Members of a bucket, and bytes of their texts, that one task compares with each other or with as many others.
-BLOCK = 512
+BLOCK = 2048
 BLOCK_BYTES = 8_000_000
 #: Members of a bucket that go to one task of a join.
 SPREAD = 5_000
@@ -189,15 +191,20 @@ def components(space: Workspace, edges: DataFrame, name: str) -> DataFrame:
         space.drop(f"{name}_apart", f"{name}_{turn - 1}")
 
 
-def _met(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Members (bucket, node, n, size) of buckets with texts of several classes, with the leader of another class that each meets, and the bucket's present members and bytes."""
-    known = members.join(labels, "node", "left").select("bucket", "node", "n", "size", F.coalesce("comp", "node").alias("comp"))
-    order = F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), "comp", F.xxhash64("node", F.lit(turn)).alias("g"), "node")
-    mixed = known.groupBy("bucket").agg(F.min(order).alias("low"), F.max(order).alias("high"), F.max("n").alias("n"), F.count("*").alias("now"), F.sum("size").alias("bytes")).where("low.comp <> high.comp")
-    spread = mixed.select("bucket", "low", "high", "now", "bytes", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SPREAD).cast("int"))).alias("salt"))
+def _met(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """Members (bucket, node, n, size, central) of buckets with texts of several classes, with the leader that each meets there and its weight, and the bucket's present members and bytes."""
+    own = members if labels is None else members.join(labels, "node", "left")
+    known = own.select("bucket", "node", "n", "size", "central", (F.col("node") if labels is None else F.coalesce("comp", "node")).alias("comp"))
+    chance = 1.0 if labels is None else 0.5 + F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) / (2 << 20)
+    weighed = known.withColumn("weight", F.col("central") * chance)
+    by_weight = F.struct("weight", "comp", "node")
+    by_class = F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), "weight", "comp", "node")
+    leaders = F.max(by_weight).alias("first"), F.min(by_class).alias("low"), F.max(by_class).alias("high")
+    mixed = weighed.groupBy("bucket").agg(*leaders, F.max("n").alias("n"), F.count("*").alias("now"), F.sum("size").alias("bytes")).where("low.comp <> high.comp")
+    spread = mixed.select("bucket", "first", "low", "high", "now", "bytes", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SPREAD).cast("int"))).alias("salt"))
     salted = known.withColumn("salt", F.pmod(F.xxhash64("node"), F.floor((F.col("n") - 1) / SPREAD) + 1).cast("int"))
-    leader = F.when(F.col("comp") != F.col("low.comp"), F.col("low")).otherwise(F.col("high"))
-    return salted.join(spread, ["bucket", "salt"]).select("bucket", "node", "n", "size", "comp", "now", "bytes", leader["g"].alias("g"), leader["node"].alias("leader"))
+    pick = lambda name: F.coalesce(*[F.when(F.col("comp") != F.col(k)["comp"], F.col(k)[name]) for k in ("first", "low", "high")]).alias(name if name == "weight" else "leader")
+    return salted.join(spread, ["bucket", "salt"]).select("bucket", known["node"], known["n"], "size", "central", "comp", "now", "bytes", pick("weight"), pick("node"))
 
 
 _BLOCK = ["bucket", "low", "high", "part", "node", "comp"]
@@ -275,17 +282,22 @@ def _classed(base: DataFrame, space: Workspace) -> DataFrame:
     firsts = some.join(copies, ["k1", "k2"], "left").where("first is null or row = first").select(F.col("row").alias("node"), "size", "sig", "buckets")
     chosen = space.write("chosen", firsts)
     bands = chosen.select("node", "size", F.explode("buckets").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = space.write("members", bands.join(shared, "bucket").select("bucket", "node", "n", "size", "leader"))
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met_in = bands.join(shared, "bucket").select("bucket", "node", "n", "size")
+    paired = space.write("paired", met_in)
+    central = paired.groupBy("node").agg(F.sum("n").alias("central"))
+    members = space.write("members", paired.join(central, "node").select("bucket", "node", "n", "size", "central"))
+    space.drop("paired")
     candidates = members.select("node").distinct()
     sigs = space.write("sigs", chosen.join(candidates, "node", "left_semi").select("node", "sig", "buckets"))
     space.drop("chosen")
     texts = space.write("texts", base.select(F.col("row").alias("node"), "text").join(candidates, "node", "left_semi"), "zstd")
 
-    pairs = members.groupBy("node").agg(F.min("leader").alias("leader")).where("leader < node")
-    edges, labels, met = None, None, None
+    edges, labels = None, None
+    met = space.write("met_0", _met(members, None, 0))
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
+            pairs = met.groupBy("node").agg(F.max(F.struct("weight", "leader")).alias("l")).select("node", "l.leader")
             ordered = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
             found = space.write(f"links_{turn}", _links(_agreement(ordered, sigs), texts))
         else:
@@ -294,10 +306,10 @@ def _classed(base: DataFrame, space: Workspace) -> DataFrame:
         if labels is None or not found.isEmpty():
             labels = components(space, edges, f"labels_{turn}")
         if turn < ROUNDS:
-            met = space.write(f"met_{turn}", _met((members if met is None else met).select("bucket", "node", "n", "size"), labels, turn))
+            met = space.write(f"met_{turn + 1}", _met(met.select("bucket", "node", "n", "size", "central"), labels, turn + 1))
+            space.drop(f"met_{turn}")
             if met.isEmpty():
                 break
-            pairs = met.groupBy("node").agg(F.min(F.struct("g", "leader")).alias("l")).select("node", "l.leader")
     space.drop("texts", "sigs", "members")
     out = signed.select("row", "k1", "k2").join(copies, ["k1", "k2"], "left").select("row", F.coalesce("first", "row").alias("node"))
     return out.join(labels, "node", "left").select("row", F.coalesce("comp", "node").alias("comp"))
