@@ -188,10 +188,11 @@ def repeats(base: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
     copies = space.write("copies", base.where("h1 <> 0").groupBy("h1", "h2").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"))
     again = space.write("again", base.select("row", "h1", "h2").join(copies, ["h1", "h2"]).where("row <> first").select("row"))
     found = space.write("runs", base.select("row", "text").mapInArrow(_run_rows, "gram long, row long, start int, n int"))
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written, so that both sides of the join are dealt anew and Spark may split the rows of a gram that is in many texts
+    often = space.write("often", found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     kept = found.join(often, "gram").join(again, "row", "left_anti")
     listed = space.write("listed", kept.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("runs"), F.sum("n").alias("n")))  # of one text
-    space.drop("runs", "copies")
+    space.drop("runs", "often", "copies")
     total = listed.agg(F.sum("n")).first()[0] or 0
     groups = parts_for(total, GROUP)
     order = ["a", "b", "row", "start"]
