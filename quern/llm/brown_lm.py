@@ -17,7 +17,8 @@ classes in a vocabulary of any size, texts are dealt to blocks of about BLOCK_BY
 its tokens, are joined with them, and each block meets its own. Words are compared by 64-bit hashes.
 
 Defined results: a null text is an empty one, its only token the end. Without training texts all counts are 0. Of equally
-good classes the first wins.
+good classes the first wins. Repeated rows count, and are scored, each for itself. Columns other than id and text are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import MOST_PARTS, Workspace
 from .text import LOWER, blocks, hash_spans, mix, spans_of_words, utf8
 
 CLUSTERED = 2000
@@ -304,7 +305,8 @@ def score_texts(texts: DataFrame, held_out: Column, key: str = "doc_id", text: s
     parts = max(1, math.ceil(volume / BLOCK_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), F.substring("text", 1, 64)), F.lit(parts)).cast("int"))
 
-    sorted_ = dealt.select("text", "held_out", "block").repartition(parts, "block").sortWithinPartitions("block")
+    tasks = min(parts, MOST_PARTS)
+    sorted_ = dealt.select("text", "held_out", "block").repartition(tasks, "block").sortWithinPartitions("block")
     places = space.write("places", sorted_.mapInArrow(_distinct_words, "word long, block int, kind int, n long"))
     counted = places.groupBy("word").agg(F.sum("n").alias("n"), F.min("kind").alias("kind"), F.count("*").alias("blocks"))
     vocabulary = space.write("vocabulary", counted.where("n > 0"))
@@ -327,7 +329,7 @@ def score_texts(texts: DataFrame, held_out: Column, key: str = "doc_id", text: s
         classes[order] = exchange(bigrams[np.ix_(order, order)], n_listed[order].astype(float), n_classes)
     first_pairs = _table(*_transitions(listed, classes, n_classes, False), train)
     met = train.select("text").mapInArrow(_neighbours(listed, classes, n_classes), "word long, kind int, met array<long>")
-    by_word = met.repartition(parts, "word").sortWithinPartitions("word")
+    by_word = met.repartition(tasks, "word").sortWithinPartitions("word")
     classed = space.write("classed", by_word.mapInArrow(_assign(first_pairs, n_classes), "word long, kind int, n long, class int"))
     unknown = _of_unknown(classed, n_classes)
     looked_up = space.write("looked_up", places.select("block", "word").join(classed.select("word", "n", "class"), "word").select("block", "word", "n", "class"))

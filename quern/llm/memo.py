@@ -1,4 +1,4 @@
-"""What a worker remembers of short texts that come again and again: rows of ids by a 64-bit hash."""
+"""What a worker remembers of short texts that come again and again: rows of ids by a 64-bit hash, and a second value that tells texts apart whose hashes are equal."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from itertools import chain
 
 import numpy as np
 
+from .text import mix
+
 
 class Memo:
     """Rows of ids by hash, at most about `most` of them: then all are forgotten."""
@@ -17,11 +19,12 @@ class Memo:
 
     def forget(self) -> None:
         self.known = np.empty(0, np.uint64)
+        self.proof = np.empty(0, np.uint64)
         self.row = np.empty(0, np.int64)
         self.offsets = np.zeros(1, np.int64)
         self.flat = np.empty(0, np.int32)
 
-    def ids(self, hashes: np.ndarray, make: Callable[[np.ndarray], Sequence[Sequence[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, hashes: np.ndarray, proofs: np.ndarray, make: Callable[[np.ndarray], Sequence[Sequence[int]]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all hashed texts in a row and the texts' sizes; make() gets the indices of texts that are new, each once."""
         order = np.argsort(hashes)
         kinds = hashes[order]
@@ -30,18 +33,27 @@ class Memo:
         of = np.empty(len(kinds), np.int64)
         of[order] = np.cumsum(head) - 1
         kinds, one = kinds[head], order[head]  # one place of each
+        if (proofs != proofs[one][of]).any():  # two texts with one hash: both values together become the hash, for this once
+            self.forget()
+            found = self.ids(mix(hashes ^ mix(proofs)), np.zeros_like(proofs), make)
+            self.forget()
+            return found
         if len(self.known) > self.most:
             self.forget()
         at = np.searchsorted(self.known, kinds)
         new = np.ones(len(kinds), bool)
         inside = at < len(self.known)
         new[inside] = self.known[at[inside]] != kinds[inside]
+        if (self.proof[at[~new]] != proofs[one[~new]]).any():  # one of these has the hash of another one that is remembered
+            self.forget()
+            return self.ids(hashes, proofs, make)
         if new.any():
             made = make(one[new])
             rows = len(self.offsets) - 1 + np.arange(len(made))
             self.offsets = np.append(self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in made]))
             self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(made), np.int32))
             self.known = np.insert(self.known, at[new], kinds[new])
+            self.proof = np.insert(self.proof, at[new], proofs[one[new]])
             self.row = np.insert(self.row, at[new], rows)
             at += np.cumsum(new) - new  # as many new ones stand before
         row = self.row[at][of]

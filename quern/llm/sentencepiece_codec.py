@@ -1,21 +1,22 @@
-"""SentencePiece encoding and decoding of whole texts, batched in numpy.
+"""SentencePiece encoding and decoding of whole texts: a batched numpy lattice whose step is 1 where two pieces may stand side by side and 0 where not.
 
 A text (after the model's leading blank) falls into segments that no piece crosses: a run of blanks with what follows up
 to the next blank, and each line break. Distinct segments are encoded once; those of equal length advance together, a
 character a step. For every end position a hash of each substring up to it probes the sorted hashes of the pieces; the
 widest piece that may stand there is the position's maximum, and its start the backpointer.
 
-The pieces belong to a merge (BPE) model. A merge model's encoding of a prefix ends in exactly one piece, and a piece may
+The pieces belong to a merge (BPE) model, so this is no maximum over sums of scores: the unigram path with the greatest sum
+would differ from the model's own encoding. A merge model's encoding of a prefix ends in exactly one piece, and a piece may
 follow another if undoing both pieces' merges, latest first, never shows a pair across the border that would have merged
-earlier. So the Viterbi lattice scores a step 1 if piece and predecessor may stand side by side and 0 if not, and its path
-is the encoding that merging gives, not the unigram path with the greatest sum of scores, which would differ from the
-model's own encoding. Segments with several leading blanks, whose pieces' merge order is no order of depth, and very long
-ones are merged one at a time from a heap.
+earlier; the path of the steps of 1 is the encoding that merging gives. Two kinds of segments are merged one at a time from
+a heap instead, to the same ids: those that begin with several blanks (the first word of an indented line), whose pieces'
+merge order is no order of depth, and those of over LONGEST_BATCHED characters (prose without blanks).
 
 Characters that are no piece become their bytes' pieces. Decoding joins the pieces, reads byte pieces as UTF-8 and drops
 the leading blank.
 
-Defined results: a null text has null ids, an empty one has none. U+2581 is read as a blank, as the model has it.
+Defined results: a null text has null ids, an empty one has none. U+2581 is read as a blank, as the model has it. Repeated
+rows each get their row; columns of the input with the names of the result's columns are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from .memo import Memo
 from .shared import map_texts
-from .text import hash_spans, utf8
+from .text import hash_spans, proofs, utf8
 
 BLANK = "▁"
 LONGEST_BATCHED = 256
@@ -297,7 +298,7 @@ class Encoder:
         end = np.append(begin[1:], len(framed))
         raw = framed.tobytes()
         segments = lambda at: [raw[begin[k] : end[k]].decode().replace(" ", BLANK) for k in at.tolist()]
-        ids, size = self.memo.ids(hash_spans(framed, begin, end), lambda at: self.each(segments(at)))
+        ids, size = self.memo.ids(hash_spans(framed, begin, end), proofs(framed, begin, end), lambda at: self.each(segments(at)))
         total = np.append(0, np.cumsum(size))
         return ids, total[np.searchsorted(begin, grown)]
 

@@ -106,9 +106,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     size = ends - starts
     if not len(size):
         return np.empty(0, np.uint64)
-    padded = np.zeros(len(data) + 8, np.uint8)
-    padded[: len(data)] = data
-    eights = np.ndarray((len(data) + 1,), np.uint64, padded, strides=(1,))  # the eight bytes from each byte on
+    eights = _eights(data)
     out = _step(_SEEDS[np.minimum(size, LONG_WORD)], eights[starts] & _MASKS[np.minimum(size, 8)])
     some = np.flatnonzero((size > 8) & (size <= LONG_WORD))
     at, left = starts[some] + 8, size[some] - 8
@@ -121,6 +119,21 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), np.uint64, padded, strides=(1,))
+
+
+def proofs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of byte ranges a value of their first and last eight bytes and their size that has nothing in common with hash_spans()."""
+    size = ends - starts
+    eights, mask = _eights(data), _MASKS[np.minimum(size, 8)]
+    first, last = eights[starts] & mask, eights[np.maximum(ends - 8, starts)] & mask
+    return first * np.uint64(0xC2B2AE3D27D4EB4F) + last * np.uint64(0x165667B19E3779F9) + size.astype(np.uint64) * np.uint64(0x27D4EB2F165667C5)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     starts, ends, first = spans_of_words(data, offsets)
     return Words(starts, ends, hash_spans(data, starts, ends), first)

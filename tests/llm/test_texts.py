@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import prose
+from pyspark.sql import functions as F
 
 from quern.llm import brown_lm, pii, sentencepiece_codec, token_store
 from quern.llm.queries import tokenizer_path
@@ -133,6 +134,73 @@ def test_language_model(docs, rows, nothing):
     assert brown_lm.score_texts(nothing, held).count() == 0
 
 
+def test_scores_against_a_model_made_by_hand(spark):
+    rng = random.Random(23)
+    kinds = [f"w{k}{rng.choice('abcdef')}" for k in range(90)]
+    rows = [(i, " ".join(rng.choice(kinds[: 30 + 60 * (i % 2)]) for _ in range(rng.randint(0, 40))) + (" Unseen" if i % 5 == 0 else "")) for i in range(60)]
+    held = {i: i % 5 == 0 for i, _ in rows}
+    tokens = {i: [*t.lower().split(), None] for i, t in rows}
+    train = [tokens[i] for i, _ in rows if not held[i]]
+    n = collections.Counter(w for own in train for w in own)
+    words = sorted((w for w in n if w), key=lambda w: (-n[w], brown_lm.tokens(*_utf8(w))[0][:1].view(np.int64)[0]))
+    place = {w: k for k, w in enumerate(words)}
+    follows = np.zeros((len(words), len(words)))
+    for own in train:
+        for a, b in zip(own, own[1:-1]):
+            follows[place[a], place[b]] += 1
+    size = brown_lm.class_count(len(n)) + 1
+    # the order of equally frequent words is that of their hashes without sign, as the operator sorts them
+    unsigned = sorted(words, key=lambda w: (-n[w], int(brown_lm.tokens(*_utf8(w))[0][0])))
+    order = [place[w] for w in unsigned]
+    found = brown_lm.exchange(follows[np.ix_(order, order)], np.array([float(n[w]) for w in unsigned]), size - 1)
+    of = dict(zip(unsigned, found.tolist())) | {None: size - 1}
+    pairs, total, distinct = np.zeros((size, size)), np.zeros(size), np.zeros(size)
+    for own in train:
+        for a, b in zip([None, *own], own):
+            pairs[of[a], of[b]] += 1
+    for w, count in n.items():
+        total[of[w]] += count
+        distinct[of[w]] += 1
+    alone = (pairs.sum(0) + 0.1) / (pairs.sum() + 0.1 * size)
+    kinds_after = np.maximum((pairs > 0).sum(1), 1)
+    moves = (pairs + kinds_after[:, None] * alone) / (pairs.sum(1) + kinds_after)[:, None]
+    emitted = lambda w: (n[w] + 0.1) / (total[of.get(w, 0)] + 0.1 * (distinct[of.get(w, 0)] + 1))
+    assert moves.sum(1) == pytest.approx(np.ones(size))
+    for c in range(size):  # all words of a class, and one unknown
+        own = [w for w in n if of[w] == c]
+        assert sum(map(emitted, own)) + 0.1 / (total[c] + 0.1 * (distinct[c] + 1)) == pytest.approx(1)
+    got = {r["doc_id"]: r["score"] for r in brown_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 == 0).collect()}
+    for i, own in tokens.items():
+        path = [size - 1, *(of.get(w, 0) for w in own)]
+        assert got[i] == pytest.approx(sum(math.log10(moves[a, b]) + math.log10(emitted(w)) for a, b, w in zip(path, path[1:], own))), i
+
+
+def _utf8(word):
+    from quern.llm.text import utf8
+
+    return utf8(pa.array([word]))
+
+
+def test_remembered_texts_with_equal_hashes():
+    from quern.llm.memo import Memo
+
+    memo, made = Memo(100), []
+
+    def make(texts):
+        return lambda at: made.append(len(at)) or [[ord(c) for c in texts[k]] for k in at.tolist()]
+
+    def ids(texts, hashes, proofs):
+        flat, size = memo.ids(np.array(hashes, np.uint64), np.array(proofs, np.uint64), make(texts))
+        assert "".join(map(chr, flat)) == "".join(texts) and size.tolist() == [len(t) for t in texts]
+
+    ids(["ab", "c", "ab"], [1, 2, 1], [10, 20, 10])
+    ids(["ab", "d"], [1, 3], [10, 30])
+    assert made == [2, 1]
+    ids(["x", "y", "x"], [1, 1, 1], [11, 12, 11])
+    ids(["x", "d"], [1, 3], [11, 30])
+    ids(["zz", "d"], [1, 3], [13, 30])
+
+
 def test_language_model_in_blocks_is_the_same(docs, monkeypatch):
     held = id_remainder("doc_id", 10) == 0
     one = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in brown_lm.score_texts(docs, held).collect()}
