@@ -7,8 +7,8 @@ score is the mean over its characters of the log ratio. Three in sixteen URLs wi
 take no part in the counts; the threshold that best separates their two classes (Youden's J over hundredths of a nat) decides the URLs that no rule fits.
 
 URLs are lower-cased and spelt in 42 symbols (digits are one symbol, rare characters another), so the models have at
-most 42 ** 4 rows whatever the input. Counts are taken over all distinct URLs. Their table is broadcast if it has at most
-BROADCAST_ROWS rows; beyond that Spark joins by shuffle.
+most 42 ** 4 rows (3.1 million of some 80 bytes) whatever the input, which is why their table may be broadcast. Counts are
+taken over all distinct URLs.
 
 Defined results: a null URL, or one without characters, has empty host and path, no score, and the verdict block if no
 rule fits. Without any URL of one class that class's model is uniform and the threshold is 0. Repeated rows each get
@@ -28,7 +28,6 @@ ORDER = 3
 MIN_CONTEXT = 4
 SYMBOLS = 42
 CALIBRATION_DIGITS = ("0", "1", "2")
-BROADCAST_ROWS = 400_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -115,9 +114,7 @@ def filter_urls(pages: DataFrame, column: str = "url", rules=RULES) -> DataFrame
     counted = [F.sum(((F.col("verdict") == v) & ~F.col("held")).cast("long")).alias(c) for v, c in (("allow", "accepted"), ("block", "rejected"))]
     counts = _grams(urls).groupBy("gram").agg(*[F.coalesce(c, F.lit(0)).alias(n) for c, n in zip(counted, ("accepted", "rejected"), strict=True)])
     model = space.write("model", markov_ratio(space.write("counts", counts)))
-    if model.count() <= BROADCAST_ROWS:
-        model = F.broadcast(model)
-    scores = _grams(urls).join(model, "gram").groupBy("quern_url").agg(F.avg("ratio").alias("score"))
+    scores = _grams(urls).join(F.broadcast(model), "gram")  # at most SYMBOLS ** (ORDER + 1) rows.groupBy("quern_url").agg(F.avg("ratio").alias("score"))
     scores = space.write("scores", urls.join(scores, "quern_url", "left").select("quern_url", "score", "verdict", "held"))
     limit = threshold(scores.where("held and verdict is not null"))
     kept = without(pages, "host", "path", "rule", "verdict", "score", "threshold")
