@@ -325,7 +325,8 @@ def near_duplicate_classes(texts: DataFrame, key: str = "doc_id", text: str = "t
     space = Workspace(texts.sparkSession, "near")
     base = _numbered(texts.select(key, text), space)
     classed = space.write("classed", _classed(base.select("row", F.col("c1").alias("text")), space).join(base.select("row", F.col("c0").alias("id")), "row"))
-    smallest = classed.groupBy("comp").agg(F.min("id").alias("class_id"))
+    # written, so that both sides of the join are dealt anew and Spark may split the rows of a large class
+    smallest = space.write("smallest", classed.groupBy("comp").agg(F.min("id").alias("class_id")))
     return classed.join(smallest, "comp").select(F.col("id").alias(key), "class_id")
 
 
