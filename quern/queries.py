@@ -386,18 +386,19 @@ def literal_csv_roundtrip(spark, sf_dir):
     import gzip
     import lzma
     import os
+    import shutil
 
     from .plans import directory
+    from .sources.files import write_csv
 
     folder = new_folder(spark, "csv").removeprefix("file://").removeprefix("file:")  # the reader opens mounted paths
     os.makedirs(folder)
-    columns = list(PROFILED["customer"])
-    body = table(spark, sf_dir, "customer").select(*columns).orderBy("c_custkey").toPandas().to_csv(index=False).encode()
-    paths = []
-    for suffix, squeeze in (("", lambda b: b), (".gz", gzip.compress), (".bz2", bz2.compress), (".xz", lzma.compress)):
-        paths.append(f"{folder}/customer.csv{suffix}")
-        with open(paths[-1], "wb") as out:
-            out.write(squeeze(body))
+    plain = write_csv(table(spark, sf_dir, "customer").select(*PROFILED["customer"]).orderBy("c_custkey"), f"{folder}/customer.csv")
+    paths = [plain]
+    for suffix, opened in ((".gz", gzip.open), (".bz2", bz2.open), (".xz", lzma.open)):
+        paths.append(plain + suffix)
+        with open(plain, "rb") as source, opened(paths[-1], "wb") as out:
+            shutil.copyfileobj(source, out, 1 << 20)
     made, _ = directory.profiled(directory.scanned(spark, paths))
     return made.select(F.regexp_extract("file", r"customer\.csv.*$", 0).alias("name"), "column_name", "rows_seen", "empty_count", "distinct_count", "number_count", "longest_value_length")
 

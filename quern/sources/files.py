@@ -70,3 +70,14 @@ def estimated_rows(path: str, points: int = 8, sample: int = 1 << 16) -> int | N
             return max(0, round(lines * size / read) - 1)
     except (OSError, EOFError, lzma.LZMAError):
         return None
+
+
+def write_csv(df: DataFrame, path: str, separator: str = ",") -> str:
+    """One local file with a header, written row by row; returns its path. Nulls are empty."""
+    import csv
+
+    with open(path, "w", encoding="utf-8", newline="") as out:
+        writer = csv.writer(out, delimiter=separator, lineterminator="\n")
+        writer.writerow(df.columns)
+        writer.writerows(df.toLocalIterator())
+    return path
