@@ -340,3 +340,21 @@ def first_of_each_class(texts: DataFrame, key: str = "doc_id", text: str = "text
     first = classed.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("f")).select("f.row")
     kept = space.write("first", first)
     return base.join(kept, "row", "left_semi").select(*[F.col(at[c]).alias(c) for c in names])
+
+
+def sql(table: str = "documents") -> str:
+    """DuckDB SQL for doc_id and class_id of near_duplicate_classes(), where ids are unique and not null. Pairs whose shared shingles have a mass under SIMILARITY in either text cannot be links."""
+    least = SIMILARITY - 1e-9
+    return rf"""WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS own FROM {table}),
+shingles AS (SELECT doc_id, body, count(*) AS w FROM (SELECT doc_id, md5(array_to_string(own[place : place + {SHINGLE - 1}], ' ')) AS body
+FROM (SELECT doc_id, own, unnest(range(1, greatest(2, len(own) - {SHINGLE - 2}))) AS place FROM split WHERE len(own) > 0)) GROUP BY 1, 2),
+sizes AS (SELECT doc_id, sum(w) AS total FROM shingles GROUP BY 1),
+bags AS (SELECT doc_id, body, w, w / total AS p FROM shingles JOIN sizes USING (doc_id)),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b FROM bags x JOIN bags y ON x.body = y.body AND x.doc_id < y.doc_id GROUP BY 1, 2 HAVING sum(least(x.p, y.p)) >= {least}),
+both_bags AS (SELECT a, b, body, max(wa) AS wa, max(wb) AS wb FROM (SELECT a, b, body, w AS wa, 0 AS wb FROM pairs JOIN shingles ON doc_id = a UNION ALL SELECT a, b, body, 0, w FROM pairs JOIN shingles ON doc_id = b) GROUP BY 1, 2, 3),
+ratios AS (SELECT a, b, wa, wb, CASE WHEN wb = 0 THEN 1e300 ELSE wa / wb END AS r FROM both_bags),
+sums AS (SELECT a, b, wa, wb, sum(wa) OVER (PARTITION BY a, b) - sum(wa) OVER upto AS more, sum(wb) OVER upto AS less FROM ratios WINDOW upto AS (PARTITION BY a, b ORDER BY r RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+links AS (SELECT a, b FROM sums WHERE wa > 0 AND wb > 0 GROUP BY 1, 2 HAVING sum(1 / (more / wa + less / wb)) >= {least}),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS other FROM {table} UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON e.a = r.other)
+SELECT doc_id, min(other) AS class_id FROM reached GROUP BY 1"""

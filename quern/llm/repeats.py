@@ -242,3 +242,14 @@ def without_repeats(texts: DataFrame, key: str = "doc_id", text: str = "text", r
     schema = f"id {base.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + (f", `{text}` string" if rewrite else "")
     out = base.join(removed, "row", "left").select("id", "text", "spans", "copy").mapInArrow(run, schema)
     return out.withColumnRenamed("id", key)
+
+
+def sql(table: str = "documents") -> str:
+    """DuckDB SQL for doc_id, n_words, n_removed and kept_sha256 of without_repeats(), where ids are unique and not null."""
+    return rf"""WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS own FROM {table}),
+windows AS (SELECT doc_id, place, md5(array_to_string(own[place : place + {WINDOW - 1}], ' ')) AS body FROM (SELECT doc_id, own, unnest(range(1, len(own) - {WINDOW - 2})) AS place FROM split WHERE len(own) >= {WINDOW})),
+again AS (SELECT doc_id, place FROM (SELECT doc_id, place, row_number() OVER (PARTITION BY body ORDER BY doc_id, place) AS turn FROM windows) WHERE turn > 1),
+gone AS (SELECT DISTINCT doc_id, place + back AS place FROM again, (SELECT unnest(range({WINDOW})) AS back)),
+single AS (SELECT doc_id, unnest(own) AS word, unnest(range(1, len(own) + 1)) AS place FROM split),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS body FROM single ANTI JOIN gone USING (doc_id, place) GROUP BY 1)
+SELECT doc_id, len(own) AS n_words, len(own) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (doc_id)"""

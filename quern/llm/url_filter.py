@@ -114,7 +114,8 @@ def filter_urls(pages: DataFrame, column: str = "url", rules=RULES) -> DataFrame
     counted = [F.sum(((F.col("verdict") == v) & ~F.col("held")).cast("long")).alias(c) for v, c in (("allow", "accepted"), ("block", "rejected"))]
     counts = _grams(urls).groupBy("gram").agg(*[F.coalesce(c, F.lit(0)).alias(n) for c, n in zip(counted, ("accepted", "rejected"), strict=True)])
     model = space.write("model", markov_ratio(space.write("counts", counts)))
-    scores = _grams(urls).join(F.broadcast(model), "gram")  # at most SYMBOLS ** (ORDER + 1) rows.groupBy("quern_url").agg(F.avg("ratio").alias("score"))
+    # the model has at most SYMBOLS ** (ORDER + 1) rows
+    scores = _grams(urls).join(F.broadcast(model), "gram").groupBy("quern_url").agg(F.avg("ratio").alias("score"))
     scores = space.write("scores", urls.join(scores, "quern_url", "left").select("quern_url", "score", "verdict", "held"))
     limit = threshold(scores.where("held and verdict is not null"))
     kept = without(pages, "host", "path", "rule", "verdict", "score", "threshold")
