@@ -47,10 +47,6 @@ def _maps(rows: list[dict[str, str]]) -> pa.MapArray:
     return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
 
 
-def _written(record: dict) -> dict[str, str]:
-    return {k: logline.written(v) for k, v in record.items()}
-
-
 def _finished(record: dict[str, str] | None, log: str | None, text: str, line: int, partials: int, problems: list[str]) -> tuple[dict[str, str], str, list[str]]:
     """The row of a record or, where there is none, of a bad line; what the parser has to say comes last."""
     row, shape, told = ({"parse.raw": text}, "", []) if record is None else logline.row_of(record, log)
@@ -67,7 +63,7 @@ def _whole_rows(batches):
             if record is not None and "_p" in record:
                 continue
             log = record.get("log") if record is not None else None
-            row, shape, problems = _finished(None if record is None else _written(record), log if isinstance(log, str) else None, text, line, 0, [problem] if problem else [])
+            row, shape, problems = _finished(None if record is None else logline.cells(record), log if isinstance(log, str) else None, text, line, 0, [problem] if problem else [])
             kept.append(k)
             fields.append(row)
             shapes.append(shape)
@@ -86,7 +82,7 @@ def _pieces(batches):
             record, _ = logline.record_of(text)
             if record is not None and "_p" in record:
                 kept.append(k)
-                fields.append(_written(record))
+                fields.append(logline.cells(record))
                 log = record.get("log")
                 origin = [logline.written(v) for v in (record.get("filename") or record.get("pod"), record.get("container"), record.get("stream"))]
                 more.append((log if isinstance(log, str) else None, fields[-1]["_p"], json.dumps(origin)))
