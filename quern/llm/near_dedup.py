@@ -288,7 +288,8 @@ def _classed(base: DataFrame, space: Workspace) -> DataFrame:
     central = paired.groupBy("node").agg(F.sum("n").alias("central"))
     members = space.write("members", paired.join(central, "node").select("bucket", "node", "n", "size", "central"))
     space.drop("paired")
-    candidates = members.select("node").distinct()
+    # joins of wide rows that grow with the corpus are dealt by key at any size
+    candidates = members.select("node").distinct().hint("merge")
     sigs = space.write("sigs", chosen.join(candidates, "node", "left_semi").select("node", "sig", "buckets"))
     space.drop("chosen")
     texts = space.write("texts", base.select(F.col("row").alias("node"), "text").join(candidates, "node", "left_semi"), "zstd")
@@ -339,7 +340,7 @@ def first_of_each_class(texts: DataFrame, key: str = "doc_id", text: str = "text
     classed = _classed(base.select("row", F.col(at[text]).alias("text")), space).join(base.select("row", F.col(at[key]).alias("id")), "row")
     first = classed.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("f")).select("f.row")
     kept = space.write("first", first)
-    return base.join(kept, "row", "left_semi").select(*[F.col(at[c]).alias(c) for c in names])
+    return base.join(kept.hint("merge"), "row", "left_semi").select(*[F.col(at[c]).alias(c) for c in names])
 
 
 def sql(table: str = "documents") -> str:
