@@ -49,7 +49,7 @@ def _maps(rows: list[dict[str, str]]) -> pa.MapArray:
 
 def _finished(record: dict[str, str] | None, log: str | None, text: str, line: int, partials: int, problems: list[str]) -> tuple[dict[str, str], str, list[str]]:
     """The row of a record or, where there is none, of a bad line; what the parser has to say comes last."""
-    row, shape, told = ({"parse.raw": text}, "", []) if record is None else logline.row_of(record, log)
+    row, shape, told = ({"parse.raw": text}, "", []) if record is None else logline.with_line(record, log)
     problems = problems + told
     return {**row, "parse.line": str(line), "parse.log_shape": shape, "parse.partials_joined": str(partials), "parse.problems": "; ".join(problems)}, shape, problems
 
