@@ -44,31 +44,44 @@ def rows_a_batch(columns: int) -> int:
     return max(LEAST_BATCH, min(MOST_BATCH, cells // max(columns, 1)))
 
 
-def estimated_rows(path: str, points: int = 8, sample: int = 1 << 16) -> int | None:
-    """Rows of a local file for a progress line: counted in small files, else from samples; from the first blocks of a compressed one; None if it cannot be read."""
+def _line_ends(f, most: int | None) -> int:
+    """Line ends in the next `most` bytes, or in all that follow."""
+    lines = read = 0
+    while (most is None or read < most) and (block := f.read(1 << 20 if most is None else min(1 << 20, most - read))):
+        lines, read = lines + block.count(b"\n"), read + len(block)
+    return lines
+
+
+def estimated_rows(path: str, points: int = 8, sample: int = 1 << 16, exact: int | None = EXACT_COUNT_BYTES) -> int | None:
+    """Rows of a local file, for a progress line unless exact is None; None if it cannot be read.
+
+    A text of up to `exact` bytes (None: of any size), compressed or not, is counted. Longer ones are estimated: from
+    samples, or from the first `exact` bytes of a compressed one.
+    """
     import bz2
     import gzip
     import lzma
+    import zlib
 
     opener = {"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}.get(path.rsplit(".", 1)[-1].lower())
     try:
         size = os.path.getsize(path)
         if opener:
             with open(path, "rb") as raw, opener(raw) as f:
-                head = f.read(4 * sample)
+                lines = _line_ends(f, exact)
                 used = max(1, min(size, raw.tell()))
                 whole = f.read(1) == b""
-            return max(0, round(head.count(b"\n") * (1 if whole else size / used)) - 1)
+            return max(0, round(lines * (1 if whole else size / used)) - 1)
         with open(path, "rb") as f:
-            if size <= EXACT_COUNT_BYTES:
-                return max(0, sum(block.count(b"\n") for block in iter(lambda: f.read(1 << 20), b"")) - 1)
+            if exact is None or size <= exact:
+                return max(0, _line_ends(f, None) - 1)
             lines = read = 0
             for k in range(points):
                 f.seek((size - sample) * k // max(1, points - 1))
                 block = f.read(sample)
                 lines, read = lines + block.count(b"\n"), read + len(block)
             return max(0, round(lines * size / read) - 1)
-    except (OSError, EOFError, lzma.LZMAError):
+    except (OSError, EOFError, lzma.LZMAError, zlib.error):
         return None
 
 

@@ -151,6 +151,24 @@ def test_estimates(tmp_path):
     assert (S.rows_a_batch(66), S.rows_a_batch(1), S.rows_a_batch(10_000)) == (15_151, 100_000, 2_000)
 
 
+def test_rows_are_counted(tmp_path):
+    body = "k,v\n" + "".join(f"{i},value{i * 7919 % 100_003}\n" for i in range(60_000))
+    for suffix, squeeze in (("", lambda b: b), (".gz", gzip.compress), (".bz2", bz2.compress), (".xz", lzma.compress)):
+        path = tmp_path / f"small.csv{suffix}"
+        path.write_bytes(squeeze(body.encode()))
+        assert S.estimated_rows(str(path)) == 60_000
+        assert S.estimated_rows(str(path), sample=1 << 10, exact=None) == 60_000
+    (tmp_path / "damaged.csv.gz").write_bytes(gzip.compress(body.encode())[:2000] + b"\xff" * 2000)
+    assert S.estimated_rows(str(tmp_path / "damaged.csv.gz")) is None
+
+
+def test_row_estimates_at_sixty_times_the_suppliers(spark, tmp_path):
+    from quern import file_queries as Q
+
+    spark.range(60_000).selectExpr("id AS s_suppkey", "format_string('Supplier#%09d', id) AS s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert {r["suffix"]: r["estimated"] for r in Q.row_estimates(spark, str(tmp_path)).collect()} == dict.fromkeys(("", ".gz", ".bz2", ".xz"), 60_000)
+
+
 def test_collisions(spark, folder):
     (folder / "jobs.csv.gz").write_bytes(b"")
     found = S.collisions(S.classified(S.listing(spark, f"file://{folder}"))).collect()
