@@ -245,6 +245,59 @@ def test_token_files_round_trip(n):
         assert (back == ids).all() and (same == sizes).all()
 
 
+@pytest.mark.parametrize("n", [token_store.BLOCK_IDS - 1, token_store.BLOCK_IDS, 3 * token_store.BLOCK_IDS + 1])
+def test_token_files_of_very_likely_and_very_rare_ids(n):
+    rng = np.random.default_rng(n)
+    rare = np.where(rng.random(n) < 0.002, rng.integers(0, 1 << 24, n), 7)  # long carries and wide steps of the coder
+    for ids in (rare, np.arange(n), np.tile(np.arange(40), n)[:n]):
+        back, _ = token_store.decode_file(token_store.encode_file(ids.astype(np.int32), np.array([n])))
+        assert (back == ids).all()
+
+
+def test_carries_go_through_words_of_all_ones():
+    lanes, n = 3, 400
+    coder = token_store.RangeEncoder(lanes, n + 8)
+    coder.low[:] = np.uint64((1 << 64) - 2)  # the next part that is not the first overflows
+    coder.out[:4] = coder.out[n + 8 : n + 12] = 0xFFFFFFFF
+    coder.out[0] = 5
+    coder.at[:2] += 4
+    hit, p = np.zeros(lanes, bool), np.full(lanes, 32768, np.int32)
+    coder.out[n + 8] = 6
+    coder.code(lanes, p, hit, np.full(lanes, 3, np.uint64), np.full(lanes, 1, np.uint64))
+    assert coder.out[:4].tolist() == [6, 0, 0, 0] and coder.out[n + 8 : n + 12].tolist() == [7, 0, 0, 0]
+
+
+def test_remembered_words_are_found_without_sorting(tokenizer, monkeypatch):
+    from quern.llm import memo
+
+    encoder, texts = token_store.WordEncoder(tokenizer.to_str()), pa.array(["Some words, élan and 12 more words", "it's <odd> 中文", None])
+    ids, sizes = encoder.encode(texts)
+    monkeypatch.setattr(memo.np, "argsort", lambda *_: pytest.fail("sorted"))
+    again, same = encoder.encode(texts)
+    assert (again == ids).all() and (same == sizes).all()
+
+
+def test_a_table_in_front_of_what_is_remembered():
+    from quern.llm.memo import FrontedMemo
+
+    memo, rng, made = FrontedMemo(50, 3), np.random.default_rng(3), []
+    text = lambda h, p: [h, p] * (h % 4)
+
+    def ids(hashes, proofs):
+        flat, size = memo.ids(np.array(hashes, np.uint64), np.array(proofs, np.uint64), lambda at: made.append(len(at)) or [text(hashes[k], proofs[k]) for k in at.tolist()])
+        want = [text(h, p) for h, p in zip(hashes, proofs, strict=True)]
+        assert flat.tolist() == [x for w in want for x in w] and size.tolist() == [len(w) for w in want]
+
+    ids([1, 9, 1, 2], [1, 1, 1, 1])  # 1 and 9 have one place
+    ids([9, 1, 2, 9], [1, 1, 1, 1])
+    assert made == [3]
+    ids([1, 2], [2, 1])  # another text with the hash of one in front
+    ids([2, 1, 1, 2], [1, 1, 2, 1])  # two with one hash
+    for _ in range(300):  # places are taken over, and all is forgotten now and then
+        hashes = rng.integers(0, 200, 12).tolist()
+        ids(hashes, [7 if rng.random() < 0.95 else 8 for _ in hashes])
+
+
 def test_damage_is_found():
     ids = np.random.default_rng(1).zipf(1.3, 5000) % 3000
     raw = token_store.encode_file(ids.astype(np.int32), np.array([5000]))
